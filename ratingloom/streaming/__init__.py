@@ -1,0 +1 @@
+"""Intentionally empty: the ratings workload is batch only and has no event-time operator."""
