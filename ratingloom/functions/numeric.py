@@ -23,6 +23,12 @@ def relative_change(value: Column | str, reference: Column | str, scale: int = 8
     return F.round(safe_ratio(value, reference) - F.lit(1), scale)
 
 
+def half_even(value: Column | str, digits: int) -> Column:
+    """Round a double half to even after scaling it, as array libraries do."""
+    power = F.lit(float(10**digits))
+    return F.rint(column(value).cast("double") * power) / power
+
+
 def decimal_mean(value: Column | str, scale: int = 0) -> Column:
     """Average of an exact number, kept at ``scale + 4`` digits and rounded half away from zero.
 

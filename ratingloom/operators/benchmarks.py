@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratingloom.functions.numeric import clip_lower, decimal_mean, flag, relative_change, safe_ratio
+from ratingloom.functions.numeric import clip_lower, decimal_mean, flag, half_even, relative_change, safe_ratio
 from ratingloom.operators.joins import join_on_keys, known_size, latest_only
 from ratingloom.operators.ordering import GROUP_ROWS, order_columns, with_rank
 from ratingloom.operators.quantiles import grouped_quantiles, value_counts, quantiles_of_counts
@@ -35,8 +35,8 @@ def peer_benchmark(
     peers = known_size(
         stats.select(
             *keys,
-            F.bround("__median", scale).cast(kind).alias("class_year_co2_median"),
-            F.bround("__p25", scale).cast(kind).alias("class_year_co2_p25"),
+            half_even("__median", scale).cast(kind).alias("class_year_co2_median"),
+            half_even("__p25", scale).cast(kind).alias("class_year_co2_p25"),
         )
     )
     number = F.col(value).cast(kind)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ratingloom.functions.numeric import bucketize, flag, period_label, safe_ratio
+from ratingloom.functions.numeric import bucketize, flag, half_even, period_label, safe_ratio
 from ratingloom.functions.text import (
     category_key,
     decode,
@@ -60,9 +60,9 @@ def derive_ratios(
     number = {name: F.col(name).cast("double") for name in (city, highway, combined, emissions)}
     return df.withColumns(
         {
-            "city_hwy_gap_l_100km": F.bround(number[city] - number[highway], 3).cast("decimal(6,3)"),
-            "city_hwy_ratio": F.bround(safe_ratio(number[city], number[highway]), 6).cast("decimal(16,6)"),
-            "co2_per_comb_l": F.bround(safe_ratio(number[emissions], number[combined]), 6).cast("decimal(16,6)"),
+            "city_hwy_gap_l_100km": half_even(number[city] - number[highway], 3).cast("decimal(6,3)"),
+            "city_hwy_ratio": half_even(safe_ratio(number[city], number[highway]), 6).cast("decimal(16,6)"),
+            "co2_per_comb_l": half_even(safe_ratio(number[emissions], number[combined]), 6).cast("decimal(16,6)"),
         }
     )
 

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratingloom.functions.numeric import bucketize, decimal_mean, flag, floored_percentage_error, safe_ratio
+from ratingloom.functions.numeric import (
+    bucketize,
+    decimal_mean,
+    flag,
+    floored_percentage_error,
+    half_even,
+    safe_ratio,
+)
 from ratingloom.operators.joins import join_eval, join_on_keys, known_size, with_one_row
 from ratingloom.operators.ordering import GROUP_ROWS, order_columns, top_n, with_cume_dist, with_rank
 from ratingloom.operators.quantiles import ROWS, grouped_quantiles, value_counts
@@ -177,7 +184,7 @@ def error_columns(
     labels: list[str] | None = None,
 ) -> DataFrame:
     """Rounded prediction, error, absolute and relative error and predicted band of scored rows."""
-    rounded = F.bround(F.col(raw_prediction).cast("double"), 3).cast("decimal(18,3)")
+    rounded = half_even(raw_prediction, 3).cast("decimal(18,3)")
     with_error = df.withColumn(PREDICTED, rounded).withColumn(
         ERROR, (F.col(PREDICTED) - F.col(actual).cast("decimal(18,3)")).cast("decimal(18,3)")
     )
@@ -185,7 +192,7 @@ def error_columns(
     relative = safe_ratio(F.col(ABSOLUTE).cast("double"), F.col(actual).cast("double"))
     return absolute.withColumns(
         {
-            "absolute_percentage_error": F.bround(relative, 6),
+            "absolute_percentage_error": half_even(relative, 6),
             "predicted_emission_band": bucketize(
                 PREDICTED, edges or S.EMISSION_EDGES, labels or S.EMISSION_LABELS, right=False
             ),

@@ -131,13 +131,18 @@ def model_page(
 
 
 def opportunity_page(
-    view: DataFrame, filters: Filters, kilometres: int = 20_000, vehicles: int = 1_000, bins: int = 18
+    view: DataFrame,
+    filters: Filters,
+    kilometres: int = 20_000,
+    vehicles: int = 1_000,
+    bins: int = 18,
+    tie: list[str] | tuple = ("vehicle_id",),
 ) -> dict[str, DataFrame]:
     """Frames of the scenario page over the exported opportunities."""
     chosen = filters.apply(view)
     return {
         "kpis": scenario.scenario(chosen, kilometres, vehicles),
-        "largest": scenario.top_gap_labels(chosen),
+        "largest": scenario.top_gap_labels(chosen, tie=tie),
         "mix": cube.opportunity_mix(chosen),
         "sensitivity": scenario.sensitivity(chosen, vehicles),
         "distribution": cube.histogram(chosen, "co2_gap_to_class_p25", bins),

@@ -44,6 +44,11 @@ def _equals(name: str, actual: Column, expected: Column | int | str) -> Check:
     return Check(name, actual == wanted, actual, wanted)
 
 
+def _shown(name: str) -> Column:
+    """A measure at six digits, never in exponent form."""
+    return F.round(name, 6).cast("decimal(28,6)")
+
+
 def table_checks(
     raw: DataFrame,
     clean: DataFrame,
@@ -120,13 +125,13 @@ def metric_checks(metrics: DataFrame, kpis: DataFrame, worst_mae: float) -> Data
         [
             _equals("single KPI row", c("kpi_rows"), 1),
             _equals("one selected test metric", c("selected_rows"), 1),
-            Check("test MAE beats the baseline bound", c("mae") < worst_mae, F.round("mae", 6), f"< {worst_mae:g}"),
-            Check("test R-squared bounded", c("r2").between(-1, 1), F.round("r2", 6), "between -1 and 1"),
+            Check("test MAE beats the baseline bound", c("mae") < worst_mae, _shown("mae"), f"< {worst_mae:g}"),
+            Check("test R-squared bounded", c("r2").between(-1, 1), _shown("r2"), "between -1 and 1"),
             Check(
                 "KPI MAE matches metrics",
                 F.abs(c("kpi_mae") - c("mae")) < 1e-8,
-                F.round("kpi_mae", 6),
-                F.round("mae", 6),
+                _shown("kpi_mae"),
+                _shown("mae"),
             ),
         ],
     )

@@ -31,7 +31,8 @@ class Tables:
 
 def decoded(ratings: DataFrame, fuels: DataFrame, transmissions: DataFrame) -> DataFrame:
     """Ratings with the lookup names of fuel and transmission; rows without a name drop out."""
-    named = decode_join(decode_join(ratings, fuels, "fuel_type_code"), transmissions, "transmission_family_code")
+    coded = ratings.drop("fuel_type", "transmission_family")
+    named = decode_join(decode_join(coded, fuels, "fuel_type_code"), transmissions, "transmission_family_code")
     return named.withColumnsRenamed(
         {"fuel_type_name": "fuel_type", "transmission_family_name": "transmission_family"}
     )

@@ -309,7 +309,7 @@ def scenario_sensitivity(spark, folder):
 )
 def opportunity_page_kpis(spark, folder):
     chosen = P.Filters(classes=["COMPACT", "SUV - SMALL"], text="brand#1")
-    return P.opportunity_page(exported(spark, folder), chosen, 35_000, 2_500)["kpis"]
+    return P.opportunity_page(exported(spark, folder), chosen, 35_000, 2_500, tie=TIE)["kpis"]
 
 
 @query(

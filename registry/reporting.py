@@ -188,12 +188,12 @@ def latest_class_rank(spark, folder):
     "make:s vehicle_records:l average_co2_g_km:d4 average_engine_size_l:d5 low_emission_rank:l",
     f"""SELECT *, rank() OVER (ORDER BY average_co2_g_km) AS low_emission_rank FROM (
           SELECT make, {MEANS} FROM fact WHERE model_year = (SELECT max(model_year) FROM fact) GROUP BY make)
-        WHERE vehicle_records >= 200""",
+        WHERE vehicle_records >= 300""",
     PEERED,
 )
 def latest_make_rank(spark, folder):
     # makes hold a few hundred rows of the latest year here, so this minimum splits them
-    return B.latest_make_rank(R.ratings(spark, folder), min_records=200)
+    return B.latest_make_rank(R.ratings(spark, folder), min_records=300)
 
 
 @query(

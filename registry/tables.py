@@ -194,7 +194,7 @@ ERRORS = f"""errors AS (
   SELECT *, model_split AS data_split, '{MODEL}' AS model_name,
     predicted_co2_g_km - co2_emissions_g_km AS prediction_error_g_km,
     abs(predicted_co2_g_km - co2_emissions_g_km) AS absolute_error_g_km,
-    round(CAST(abs(predicted_co2_g_km - co2_emissions_g_km) AS DOUBLE) / co2_emissions_g_km, 6) AS absolute_percentage_error,
+    round_even(CAST(abs(predicted_co2_g_km - co2_emissions_g_km) AS DOUBLE) / co2_emissions_g_km, 6) AS absolute_percentage_error,
     CASE WHEN predicted_co2_g_km < 200 THEN '<200' WHEN predicted_co2_g_km < 250 THEN '200-249'
          WHEN predicted_co2_g_km < 300 THEN '250-299' WHEN predicted_co2_g_km < 350 THEN '300-349'
          ELSE '350+' END AS predicted_emission_band
