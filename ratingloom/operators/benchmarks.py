@@ -14,7 +14,9 @@ COMBINED = "fuel_cons_comb_l_100km"
 ENGINE = "engine_size_l"
 GAP = "co2_gap_to_class_p25"
 
-COUNT = F.count(F.lit(1)).alias("vehicle_records")
+
+def records() -> Column:
+    return F.count(F.lit(1)).alias("vehicle_records")
 
 
 def peer_benchmark(
@@ -101,7 +103,7 @@ def _means(combined: bool = True, engine: bool = True, gap: bool = True) -> list
 
 
 def yearly_means(fact: DataFrame, **which: bool) -> DataFrame:
-    return fact.groupBy("model_year").agg(COUNT, *_means(**which))
+    return fact.groupBy("model_year").agg(records(), *_means(**which))
 
 
 def yearly_trend(fact: DataFrame, base: int = 1995) -> DataFrame:
@@ -143,7 +145,7 @@ def _plain_means(gap: bool = True) -> list[Column]:
 def yearly_summary(fact: DataFrame, base: int = 1995) -> DataFrame:
     """Unrounded yearly averages and median; a missing base year is an error."""
     fact = fact.dropna(subset=["model_year"])
-    yearly = fact.groupBy("model_year").agg(COUNT, *_plain_means())
+    yearly = fact.groupBy("model_year").agg(records(), *_plain_means())
     medians = grouped_quantiles(fact, EMISSIONS, {"median_co2_g_km": 0.5}, ["model_year"])
     full = with_lag(join_on_keys(yearly, medians, ["model_year"]), "average_co2_g_km", "model_year", "__last")
     moved = full.withColumn(
@@ -160,7 +162,7 @@ def class_year_stats(fact: DataFrame) -> DataFrame:
     fact = fact.dropna(subset=keys)
     counts = value_counts(fact, EMISSIONS, keys)
     spread = quantiles_of_counts(counts, EMISSIONS, {"median_co2_g_km": 0.5, "p25_co2_g_km": 0.25}, keys)
-    summary = fact.groupBy(*keys).agg(COUNT, *_plain_means())
+    summary = fact.groupBy(*keys).agg(records(), *_plain_means())
     return join_on_keys(summary, spread, keys).orderBy(
         *order_columns(["model_year", "-average_co2_g_km", "vehicle_class"])
     )
@@ -170,7 +172,7 @@ def class_benchmark(fact: DataFrame) -> DataFrame:
     """Class-year averages of the fact and of its stored peer columns, ranked high to low in each year."""
     keys = ["model_year", "vehicle_class"]
     summary = fact.groupBy(*keys).agg(
-        COUNT,
+        records(),
         *_means(),
         decimal_mean("class_year_co2_median", 3).alias("median_co2_g_km"),
         decimal_mean("class_year_co2_p25", 3).alias("p25_co2_g_km"),
@@ -180,14 +182,14 @@ def class_benchmark(fact: DataFrame) -> DataFrame:
 
 def make_benchmark(fact: DataFrame) -> DataFrame:
     """Make-year averages ranked low to high in each year."""
-    summary = fact.groupBy("model_year", "make").agg(COUNT, *_means())
+    summary = fact.groupBy("model_year", "make").agg(records(), *_means())
     return with_rank(known_size(summary), ["average_co2_g_km"], ["model_year"], "low_to_high_emission_rank")
 
 
 def make_year_summary(fact: DataFrame) -> DataFrame:
     """Unrounded make-year averages without a rank."""
     keys = ["model_year", "make"]
-    return fact.dropna(subset=keys).groupBy(*keys).agg(COUNT, *_plain_means())
+    return fact.dropna(subset=keys).groupBy(*keys).agg(records(), *_plain_means())
 
 
 SUMMARY_KEYS = {
@@ -202,7 +204,7 @@ def group_summaries(fact: DataFrame, specs: dict[str, list[str]] | None = None)
     found = {}
     for name, keys in (specs or SUMMARY_KEYS).items():
         known = fact.dropna(subset=keys)
-        found[name] = known.groupBy(*keys).agg(COUNT, *_plain_means(gap=False))
+        found[name] = known.groupBy(*keys).agg(records(), *_plain_means(gap=False))
     return found
 
 
@@ -211,13 +213,13 @@ def group_summaries(fact: DataFrame, specs: dict[str, list[str]] | None = None)
 
 def latest_class_rank(fact: DataFrame) -> DataFrame:
     latest = latest_only(fact, "model_year")
-    summary = latest.groupBy("vehicle_class").agg(COUNT, *_means(engine=False, gap=False))
+    summary = latest.groupBy("vehicle_class").agg(records(), *_means(engine=False, gap=False))
     return with_rank(known_size(summary), ["-average_co2_g_km"], name="high_emission_rank")
 
 
 def latest_make_rank(fact: DataFrame, min_records: int = 5) -> DataFrame:
     latest = latest_only(fact, "model_year")
-    summary = latest.groupBy("make").agg(COUNT, *_means(combined=False, gap=False))
+    summary = latest.groupBy("make").agg(records(), *_means(combined=False, gap=False))
     guarded = known_size(summary.where(F.col("vehicle_records") >= min_records))
     return with_rank(guarded, ["average_co2_g_km"], name="low_emission_rank")
 
@@ -226,7 +228,7 @@ def engine_band_case(fact: DataFrame, band: Column) -> DataFrame:
     """Averages by a band expression, in the order of the smallest engine of each band."""
     return (
         fact.groupBy(band.alias("engine_size_band"))
-        .agg(COUNT, *_means(engine=False, gap=False), F.min(ENGINE).alias("__smallest"))
+        .agg(records(), *_means(engine=False, gap=False), F.min(ENGINE).alias("__smallest"))
         .orderBy("__smallest", "engine_size_band")
         .drop("__smallest")
     )
@@ -236,7 +238,7 @@ def record_share(
     df: DataFrame, part: str, key: str, aggregates: list[Column] | None = None, scale: int = 4
 ) -> DataFrame:
     """Records of each key and their share of all records in the partition."""
-    grouped = df.groupBy(part, key).agg(COUNT, *(aggregates or []))
+    grouped = df.groupBy(part, key).agg(records(), *(aggregates or []))
     total = F.sum("vehicle_records").over(Window.partitionBy(part))
     share = F.round((F.col("vehicle_records") / total).cast("decimal(20,12)"), scale)
     return grouped.withColumn("record_share", share)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ratingloom.functions.numeric import column, decimal_mean, label_position, safe_ratio
 from ratingloom.functions.text import contains_literal
-from ratingloom.operators.benchmarks import COMBINED, COUNT, EMISSIONS, ENGINE, GAP
+from ratingloom.operators.benchmarks import COMBINED, EMISSIONS, ENGINE, GAP, records
 from ratingloom.operators.joins import known_size, with_one_row
 from ratingloom.operators.ordering import order_columns, top_n
 
@@ -17,7 +17,7 @@ WEIGHT = "vehicle_records"
 def segment_summary(detail: DataFrame) -> DataFrame:
     """Records and averages per year, class, make, model and fuel."""
     return detail.groupBy(*SEGMENT_KEYS).agg(
-        COUNT,
+        records(),
         decimal_mean(EMISSIONS).alias("average_co2_g_km"),
         decimal_mean(COMBINED, 1).alias("average_combined_l_100km"),
         decimal_mean(ENGINE, 1).alias("average_engine_size_l"),
@@ -28,7 +28,7 @@ def segment_summary(detail: DataFrame) -> DataFrame:
 def engine_band_summary(detail: DataFrame) -> DataFrame:
     """The segment cube with the engine band as a sixth key."""
     return detail.groupBy(*SEGMENT_KEYS, "engine_size_band").agg(
-        COUNT,
+        records(),
         decimal_mean(COMBINED, 1).alias("average_combined_l_100km"),
         decimal_mean(EMISSIONS).alias("average_co2_g_km"),
     )
