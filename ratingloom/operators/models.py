@@ -153,9 +153,17 @@ def preprocess(train: DataFrame, df: DataFrame, numeric: list[str], categorical:
 # --- estimators --------------------------------------------------------------------------------------
 
 
-def ridge(rows: int, alpha: float = RIDGE_ALPHA, target: str = TARGET) -> LinearRegression:
-    """Ridge with penalty ``alpha`` on the summed squares; Spark's loss is averaged, hence ``alpha / rows``."""
-    return LinearRegression(labelCol=target, regParam=alpha / rows, elasticNetParam=0.0, standardization=False)
+def ridge(train: DataFrame, alpha: float = RIDGE_ALPHA, target: str = TARGET) -> LinearRegression:
+    """Ridge with penalty ``alpha`` on the summed squared errors of ``train``.
+
+    Spark averages its loss over the rows and divides it by the spread of the target, so the penalty is
+    scaled by both.
+    """
+    known = train.agg(
+        F.count(target).alias("rows"), F.stddev_pop(F.col(target).cast("double")).alias("spread")
+    ).first()
+    penalty = alpha * (known["spread"] or 0.0) / max(known["rows"], 1)
+    return LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=0.0, standardization=False)
 
 
 def boosted_trees(
@@ -312,7 +320,6 @@ def evaluate(
         "Gradient Boosted Trees": lambda rows: boosted_trees(**boosting, target=target),
         "Random Forest (Tuned)": lambda rows: forest(trees=trees, target=target, **best),
     }
-    train_rows, development_rows = train.count(), development.count()
     rows = [
         metric_row(
             median_baseline(train, splits.validation, target),
@@ -320,7 +327,7 @@ def evaluate(
         )
     ]
     for name, build in candidates.items():
-        model = fit(train, build(train_rows), numeric, categorical, target)
+        model = fit(train, build(train), numeric, categorical, target)
         scored = predict(model, splits.validation)
         rows.append(metric_row(scored, name, scope, "validation", True, fitted_on, target, RAW_PREDICTION))
     validation = metrics_ledger(rows).persist()
@@ -328,7 +335,7 @@ def evaluate(
 
     model = None
     if selected in candidates:
-        model = fit(development, candidates[selected](development_rows), numeric, categorical, target)
+        model = fit(development, candidates[selected](development), numeric, categorical, target)
         tested = predict(model, splits.test)
     else:
         tested = median_baseline(development, splits.test, target)

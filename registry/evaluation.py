@@ -513,9 +513,9 @@ def preprocess(spark, folder):
     return vectors.withColumn("active_levels", sum(levels, F.lit(0.0)).cast("int"))
 
 
-def _validated(spark, folder, estimator, name: str) -> DataFrame:
+def _validated(spark, folder, build, name: str) -> DataFrame:
     parts = model_splits(spark, folder)
-    model = ML.fit(parts.train, estimator, NUMERIC, CATEGORICAL)
+    model = ML.fit(parts.train, build(parts.train), NUMERIC, CATEGORICAL)
     scored = ML.predict(model, parts.validation)
     row = M.metric_row(scored, name, EARLY, "validation", True, f"until {TRAIN_UNTIL}", TARGET, "prediction")
     return row.withColumn("metric_id", F.lit(1))
@@ -523,13 +523,12 @@ def _validated(spark, folder, estimator, name: str) -> DataFrame:
 
 @query("ridge", LEDGER_SHAPE)
 def ridge(spark, folder):
-    rows = model_splits(spark, folder).train.count()
-    return _validated(spark, folder, ML.ridge(rows), "Ridge Regression")
+    return _validated(spark, folder, ML.ridge, "Ridge Regression")
 
 
 @query("gbt", LEDGER_SHAPE)
 def gbt(spark, folder):
-    return _validated(spark, folder, ML.boosted_trees(**ROUNDS), "Gradient Boosted Trees")
+    return _validated(spark, folder, lambda train: ML.boosted_trees(**ROUNDS), "Gradient Boosted Trees")
 
 
 @query(
