@@ -6,17 +6,22 @@ from pyspark.sql import Column, functions as F
 
 from ratingloom.functions.numeric import column
 
-# every whitespace character, the four separator control characters included
-SPACE = r"[\s\x1c-\x1f]"
+# fixed values: the characters that count as whitespace
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def strip(value: Column | str) -> Column:
     """Remove leading and trailing whitespace of every kind, not only spaces."""
-    return F.regexp_replace(column(value), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(column(value), F.lit(WHITESPACE))
 
 
 def normalize_text(value: Column | str) -> Column:
     """Strip, squeeze inner whitespace runs to one space, upper-case."""
-    return F.upper(F.regexp_replace(strip(value), f"(?U){SPACE}+", " "))
+    return F.upper(F.regexp_replace(strip(value), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def category_key(value: Column | str) -> Column:

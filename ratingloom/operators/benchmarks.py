@@ -28,14 +28,13 @@ def peer_benchmark(
 ) -> DataFrame:
     """Median and lower quartile of the peers on every row, with the distances to them.
 
-    The peer table holds one row per group. Its size is known before the join, so the planner
+    A row with an unknown key has no peers. The peer table holds one row per group. Its size is known before the join, so the planner
     broadcasts it when it is small; otherwise the join shuffles, and skewed groups are split.
     """
-    grouped = df.dropna(subset=keys)
-    stats = grouped_quantiles(grouped, value, {"__median": 0.5, "__p25": 0.25}, keys, group_rows)
+    stats = grouped_quantiles(df, value, {"__median": 0.5, "__p25": 0.25}, keys, group_rows)
     kind = f"decimal(18,{scale})"
     peers = known_size(
-        stats.select(
+        stats.dropna(subset=keys).select(
             *keys,
             half_even("__median", scale).cast(kind).alias("class_year_co2_median"),
             half_even("__p25", scale).cast(kind).alias("class_year_co2_p25"),

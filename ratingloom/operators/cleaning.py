@@ -45,8 +45,7 @@ def canonicalize(
     df: DataFrame, source: str, labels: dict[str, str], target: str, what: str = "vehicle class"
 ) -> DataFrame:
     """Map a category to its canonical label; a value outside the map fails the job and is named."""
-    key = category_key(strip(source))
-    return df.withColumn(target, decode_or_raise(source, key, labels, what))
+    return df.withColumn(target, decode_or_raise(source, category_key(source), labels, what))
 
 
 def derive_ratios(

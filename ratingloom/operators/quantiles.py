@@ -8,18 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratingloom.operators.joins import join_on_keys, measured
+from ratingloom.operators.joins import join_on_keys
 from ratingloom.operators.ordering import GROUP_ROWS, largest_group, running_totals
 
 ROWS = "rows"
 
 
 def value_counts(df: DataFrame, value: str, keys: list[str] | tuple = ()) -> DataFrame:
-    """(keys, value, rows) over known values, computed once; NaN is not a known value."""
+    """(keys, value, rows) over known values; NaN is not a known value.
+
+    The frame is persisted: whoever looks at its group sizes first computes it, later readers reuse it.
+    """
     known = F.col(value).isNotNull()
     if dict(df.dtypes)[value] in ("double", "float"):
         known = known & ~F.isnan(value)
-    return measured(df.where(known).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS)))[0]
+    return df.where(known).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS)).persist()
 
 
 def quantiles_of_counts(
