@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratingloom.operators.joins import join_on_keys, measured
 from ratingloom.session import shared_folder
 
+# rows one task sorts without holding up its stage
 GROUP_ROWS = 1_000_000
 _PART = "__part"
 _SLOT = "__slot"

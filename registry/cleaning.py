@@ -307,7 +307,7 @@ def clean_job(spark, folder):
 )
 def dq_checks(spark, folder):
     # the narrower year range leaves rows for the rule to count
-    return Q.dq_checks(R.numbered(R.ratings(spark, folder)), first_year=1996, last_year=2000)
+    return Q.dq_checks(R.numbered_ratings(spark, folder), first_year=1996, last_year=2000)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ratingloom.operators import metrics as M, models as ML
+from ratingloom.operators.metrics import PREDICTION_COLUMNS
 from ratingloom.operators.joins import join_on_keys, known_size
 from ratingloom.operators.ordering import head_by, row_position
 from ratingloom.plans import validation as V, views as W
@@ -36,6 +37,16 @@ TARGET = "co2_emissions_g_km"
 
 # --- scored rows -------------------------------------------------------------------------------------
 
+
+SCORED_COLUMNS = ["vehicle_id", "model_year", "vehicle_class", "fuel_cons_city_l_100km", TARGET, "model_split"]
+
+
+def stored_rows(spark, folder, columns: list[str] | None = None) -> DataFrame:
+    """Numbered ratings written once, as the load step would; joins by id then read one numbering."""
+    rows = R.numbered_ratings(spark, folder)
+    return stored(rows.select(*columns) if columns else rows, "numbered")
+
+
 SCORE_SHAPE = (
     "vehicle_id:l data_split:s model_name:s actual_co2_g_km:d predicted_co2_g_km:d3 prediction_error_g_km:d3 "
     "absolute_error_g_km:d3 absolute_percentage_error:d predicted_emission_band:s high_error_flag:l"
@@ -44,7 +55,7 @@ SCORE_SHAPE = (
 
 @query("score_rows", SCORE_SHAPE, "SELECT * FROM flagged", PREDICTED)
 def score_rows(spark, folder):
-    return R.prediction_table(spark, folder)
+    return R.prediction_table(R.numbered_ratings(spark, folder))
 
 
 @query(
@@ -55,7 +66,7 @@ def score_rows(spark, folder):
     PREDICTED,
 )
 def high_error_flag(spark, folder):
-    scored = R.prediction_table(spark, folder).drop("high_error_flag")
+    scored = R.predictions(R.ratings(spark, folder)).drop("high_error_flag")
     return (
         M.high_error_flag(scored)
         .groupBy("data_split", "high_error_flag")
@@ -82,7 +93,7 @@ STORED = metric_sql("actual_co2_g_km", "predicted_co2_g_km")
     PREDICTED,
 )
 def regression_metrics(spark, folder):
-    return M.regression_metrics(R.prediction_table(spark, folder), keys=["data_split"])
+    return M.regression_metrics(R.predictions(R.ratings(spark, folder)), keys=["data_split"])
 
 
 @query(
@@ -93,7 +104,7 @@ def regression_metrics(spark, folder):
     PREDICTED,
 )
 def model_metrics_sql(spark, folder):
-    return M.sql_model_metrics(R.prediction_table(spark, folder))
+    return M.sql_model_metrics(R.predictions(R.ratings(spark, folder)))
 
 
 @query(
@@ -106,8 +117,8 @@ def model_metrics_sql(spark, folder):
     PREDICTED,
 )
 def class_residuals(spark, folder):
-    rows = R.numbered(R.ratings(spark, folder))
-    return M.class_residuals(R.prediction_table(spark, folder), rows)
+    rows = stored_rows(spark, folder, SCORED_COLUMNS)
+    return M.class_residuals(R.prediction_table(rows), rows)
 
 
 @query(
@@ -119,8 +130,10 @@ def class_residuals(spark, folder):
     PREDICTED,
 )
 def worst_decile(spark, folder):
-    rows = R.numbered(R.ratings(spark, folder))
-    return M.worst_errors(R.prediction_table(spark, folder), rows)
+    rows = stored_rows(
+        spark, folder, [*SCORED_COLUMNS, "make", "model", "engine_size_l", "cylinders", "fuel_type"]
+    )
+    return M.worst_errors(R.prediction_table(rows), rows)
 
 
 @query(
@@ -135,7 +148,7 @@ def worst_decile(spark, folder):
     PREDICTED,
 )
 def segment_errors(spark, folder):
-    return M.segment_errors(R.predictions(spark, folder).where("data_split = 'test'"))
+    return M.segment_errors(R.predictions(R.ratings(spark, folder)).where("data_split = 'test'"))
 
 
 @query(
@@ -167,7 +180,7 @@ def split_summary(spark, folder):
     PREDICTED,
 )
 def prediction_range(spark, folder):
-    return M.prediction_range(R.prediction_table(spark, folder))
+    return M.prediction_range(R.predictions(R.ratings(spark, folder)))
 
 
 # --- the metrics ledger over predictors that SQL can express -----------------------------------------
@@ -193,24 +206,33 @@ def _evaluated(name: str, train: DataFrame, rows: DataFrame, split: str, eligibl
     return M.metric_row(scored, name, EARLY, split, eligible, period, TARGET, "prediction")
 
 
-def validation_rows(spark, folder) -> list[DataFrame]:
-    parts = splits(spark, folder)
-    return [
-        _evaluated(name, parts.train, parts.validation, "validation", True, f"until {TRAIN_UNTIL}")
-        for name in CANDIDATES
-    ]
+def narrow_splits(spark, folder) -> ML.Splits:
+    """The columns the candidates read, written once."""
+    rows = R.ratings(spark, folder).select("model_year", "vehicle_class", "fuel_cons_city_l_100km", TARGET)
+    return ML.Splits(stored(rows, "candidate-rows"), "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
+
+
+def validated(parts: ML.Splits) -> DataFrame:
+    period = f"until {TRAIN_UNTIL}"
+    return known_size(
+        M.metrics_ledger(
+            [_evaluated(name, parts.train, parts.validation, "validation", True, period) for name in CANDIDATES]
+        )
+    )
 
 
 def ledger(spark, folder) -> DataFrame:
-    parts = splits(spark, folder)
-    rows = validation_rows(spark, folder)
-    chosen = M.select_best(M.metrics_ledger(rows)).first()["model_name"]
+    parts = narrow_splits(spark, folder)
+    candidates = validated(parts)
+    chosen = M.select_best(candidates).first()["model_name"]
     period = f"until {VALIDATE_UNTIL} refit"
-    tests = [
-        _evaluated(chosen, parts.development, parts.test, "test", True, period),
-        _evaluated("Median Baseline", parts.development, parts.test, "test", False, period),
-    ]
-    return M.metrics_ledger([*rows, *tests])
+    tests = M.metrics_ledger(
+        [
+            _evaluated(chosen, parts.development, parts.test, "test", True, period),
+            _evaluated("Median Baseline", parts.development, parts.test, "test", False, period),
+        ]
+    )
+    return candidates.unionByName(tests.withColumn("metric_id", F.col("metric_id") + len(CANDIDATES)))
 
 
 def _candidate_sql(name: str, until: int, rule: str) -> str:
@@ -282,7 +304,7 @@ def median_baseline(spark, folder):
     MEASURED,
 )
 def model_selection(spark, folder):
-    return M.select_best(M.metrics_ledger(validation_rows(spark, folder)))
+    return M.select_best(validated(narrow_splits(spark, folder)))
 
 
 ABLATED = ["vehicle_class", "fuel_type", "make", "engine_size_band"]
@@ -343,12 +365,13 @@ def importance_rank(spark, folder):
 def view_tables(spark, folder) -> W.Tables:
     """The stored tables of the views; ratings and predictions are written once, as a load would."""
     ratings = stored(R.numbered_fact(spark, folder), "ratings")
-    errors = known_size(M.segment_errors(R.predictions(spark, folder).where("data_split = 'test'")))
+    scored = stored(R.predictions(ratings), "predictions")
+    errors = known_size(M.segment_errors(scored.where("data_split = 'test'")))
     return W.Tables(
         ratings=ratings,
         fuels=fuel_type_lookup(spark),
         transmissions=transmission_family_lookup(spark),
-        predictions=stored(R.prediction_table(spark, folder), "predictions"),
+        predictions=scored.select(*PREDICTION_COLUMNS),
         metrics=known_size(ledger(spark, folder)),
         importance=known_size(importance(spark, folder)),
         segment_errors=row_position(errors, ["segment_type", "segment_value"], name="segment_error_id"),
@@ -377,9 +400,9 @@ DETAIL_SHAPE = (
     ALL,
 )
 def vehicle_detail(spark, folder):
-    ratings = R.numbered_fact(spark, folder)
+    rows = stored_rows(spark, folder)
     return W.vehicle_detail(
-        ratings, fuel_type_lookup(spark), transmission_family_lookup(spark), R.prediction_table(spark, folder)
+        R.with_peers(rows), fuel_type_lookup(spark), transmission_family_lookup(spark), R.prediction_table(rows)
     )
 
 
@@ -409,7 +432,8 @@ def _at(name: str, scale: int, edge: str) -> str:
     (*ALL, VALIDATED, TESTED, LEDGER),
 )
 def kpis(spark, folder):
-    return W.kpis(R.fact(spark, folder), ledger(spark, folder), R.prediction_table(spark, folder))
+    rows = R.ratings(spark, folder)
+    return W.kpis(R.with_peers(rows), ledger(spark, folder), R.predictions(rows))
 
 
 VIEW_SOURCES = {
@@ -466,9 +490,10 @@ REQUIRED = ["vehicle_id", "model_year", "make", "vehicle_class", "engine_size_l"
     MEASURED,
 )
 def validation_report(spark, folder):
-    ratings, predicted = R.numbered(R.ratings(spark, folder)), known_size(R.prediction_table(spark, folder))
+    ratings = stored_rows(spark, folder)
+    predicted = stored(R.prediction_table(ratings), "predictions")
     found = known_size(ledger(spark, folder))
-    headline = W.kpis(R.fact(spark, folder), found, predicted)
+    headline = W.kpis(R.with_peers(ratings), found, predicted)
     return V.validation_report(
         V.table_checks(R.raw_ratings(spark, folder), ratings, predicted, REQUIRED, R.FIRST_YEAR, R.LAST_YEAR),
         V.metric_checks(found, headline, worst_mae=200),
@@ -565,7 +590,8 @@ def _small_forest(spark, folder, rows: DataFrame):
     "importance_id:l model_name:s feature:s importance_mean_mae_increase:d importance_std:d",
 )
 def permutation_importance(spark, folder):
-    parts, model = _small_forest(spark, folder, stored(R.numbered(R.ratings(spark, folder)), "importance-rows"))
+    rows = stored_rows(spark, folder, ["vehicle_id", TARGET, *NUMERIC, *CATEGORICAL])
+    parts, model = _small_forest(spark, folder, rows)
     return ML.permutation_importance(
         model, parts.test, NUMERIC + CATEGORICAL, "vehicle_id", "Random Forest", repeats=2
     )
@@ -573,7 +599,7 @@ def permutation_importance(spark, folder):
 
 @query("prediction_repro", "rows_compared:l max_difference:d reproduced:l")
 def prediction_repro(spark, folder):
-    rows = stored(R.numbered(R.ratings(spark, folder)), "repro-rows")
+    rows = stored_rows(spark, folder, ["vehicle_id", TARGET, *NUMERIC, *CATEGORICAL])
     _, model = _small_forest(spark, folder, rows)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)

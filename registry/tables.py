@@ -79,15 +79,19 @@ def raw_ratings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _canonical(raw: DataFrame) -> DataFrame:
+    canonical = canonical_columns(rename(raw))
+    return temporal_split(banded_columns(derive_ratios(canonical)), "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
+
+
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical, typed and banded ratings; row by row, unused columns are pruned."""
-    canonical = canonical_columns(rename(raw_ratings(spark, folder)))
-    return temporal_split(banded_columns(derive_ratios(canonical)), "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
+    return _canonical(raw_ratings(spark, folder))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """With the dense position by the tie-break columns as vehicle id."""
-    return row_position(df, TIE, name="vehicle_id")
+def numbered_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings with the dense position by the tie-break columns as vehicle id."""
+    return _canonical(row_position(raw_ratings(spark, folder), TIE, name="vehicle_id"))
 
 
 def with_peers(df: DataFrame) -> DataFrame:
@@ -100,7 +104,7 @@ def fact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_fact(spark: SparkSession, folder: str) -> DataFrame:
-    return with_peers(numbered(ratings(spark, folder)))
+    return with_peers(numbered_ratings(spark, folder))
 
 
 def class_line(train: DataFrame, df: DataFrame, name: str = "prediction") -> DataFrame:
@@ -118,15 +122,14 @@ def class_mean(train: DataFrame, df: DataFrame, name: str = "prediction") -> Dat
     return join_on_keys(df, known_size(means), ["vehicle_class"])
 
 
-def predictions(spark: SparkSession, folder: str) -> DataFrame:
+def predictions(rows: DataFrame) -> DataFrame:
     """Every rating scored by the class lines of the training years, other columns kept."""
-    rows = numbered(ratings(spark, folder))
     scored = class_line(rows.where(F.col("model_year") <= TRAIN_UNTIL), rows)
     return score_rows(scored, MODEL, "prediction", "co2_emissions_g_km")
 
 
-def prediction_table(spark: SparkSession, folder: str) -> DataFrame:
-    return predictions(spark, folder).select(*PREDICTION_COLUMNS)
+def prediction_table(rows: DataFrame) -> DataFrame:
+    return predictions(rows).select(*PREDICTION_COLUMNS)
 
 
 # --- the same vocabulary in SQL ----------------------------------------------------------------------
