@@ -200,10 +200,19 @@ def error_columns(
     )
 
 
-def score_rows(df: DataFrame, model_name: str, raw_prediction: str, target: str, split: str = "model_split") -> DataFrame:
-    """The predictions table: every row scored, its errors, band and high-error flag."""
+def scored_errors(
+    df: DataFrame, model_name: str, raw_prediction: str, target: str, split: str = "model_split"
+) -> DataFrame:
+    """Scored rows with their errors and band, row by row."""
     named = df.withColumnsRenamed({target: ACTUAL, split: "data_split"}).withColumn("model_name", F.lit(model_name))
-    return high_error_flag(error_columns(named, raw_prediction))
+    return error_columns(named, raw_prediction)
+
+
+def score_rows(
+    df: DataFrame, model_name: str, raw_prediction: str, target: str, split: str = "model_split"
+) -> DataFrame:
+    """The predictions table: every row scored, its errors, band and high-error flag."""
+    return high_error_flag(scored_errors(df, model_name, raw_prediction, target, split))
 
 
 PREDICTION_COLUMNS = [

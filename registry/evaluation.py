@@ -66,7 +66,7 @@ def score_rows(spark, folder):
     PREDICTED,
 )
 def high_error_flag(spark, folder):
-    scored = R.predictions(R.ratings(spark, folder)).drop("high_error_flag")
+    scored = R.errors(R.ratings(spark, folder))
     return (
         M.high_error_flag(scored)
         .groupBy("data_split", "high_error_flag")
@@ -93,7 +93,7 @@ STORED = metric_sql("actual_co2_g_km", "predicted_co2_g_km")
     PREDICTED,
 )
 def regression_metrics(spark, folder):
-    return M.regression_metrics(R.predictions(R.ratings(spark, folder)), keys=["data_split"])
+    return M.regression_metrics(R.errors(R.ratings(spark, folder)), keys=["data_split"])
 
 
 @query(
@@ -104,7 +104,7 @@ def regression_metrics(spark, folder):
     PREDICTED,
 )
 def model_metrics_sql(spark, folder):
-    return M.sql_model_metrics(R.predictions(R.ratings(spark, folder)))
+    return M.sql_model_metrics(R.errors(R.ratings(spark, folder)))
 
 
 @query(
@@ -118,7 +118,7 @@ def model_metrics_sql(spark, folder):
 )
 def class_residuals(spark, folder):
     rows = stored_rows(spark, folder, SCORED_COLUMNS)
-    return M.class_residuals(R.prediction_table(rows), rows)
+    return M.class_residuals(R.errors(rows), rows)
 
 
 @query(
@@ -133,7 +133,7 @@ def worst_decile(spark, folder):
     rows = stored_rows(
         spark, folder, [*SCORED_COLUMNS, "make", "model", "engine_size_l", "cylinders", "fuel_type"]
     )
-    return M.worst_errors(R.prediction_table(rows), rows)
+    return M.worst_errors(R.errors(rows), rows)
 
 
 @query(
@@ -148,7 +148,7 @@ def worst_decile(spark, folder):
     PREDICTED,
 )
 def segment_errors(spark, folder):
-    return M.segment_errors(R.predictions(R.ratings(spark, folder)).where("data_split = 'test'"))
+    return M.segment_errors(R.errors(R.ratings(spark, folder)).where("data_split = 'test'"))
 
 
 @query(
@@ -180,7 +180,7 @@ def split_summary(spark, folder):
     PREDICTED,
 )
 def prediction_range(spark, folder):
-    return M.prediction_range(R.predictions(R.ratings(spark, folder)))
+    return M.prediction_range(R.errors(R.ratings(spark, folder)))
 
 
 # --- the metrics ledger over predictors that SQL can express -----------------------------------------
@@ -433,7 +433,7 @@ def _at(name: str, scale: int, edge: str) -> str:
 )
 def kpis(spark, folder):
     rows = R.ratings(spark, folder)
-    return W.kpis(R.with_peers(rows), ledger(spark, folder), R.predictions(rows))
+    return W.kpis(R.with_peers(rows), ledger(spark, folder), R.errors(rows))
 
 
 VIEW_SOURCES = {

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratingloom.operators.benchmarks import peer_benchmark
 from ratingloom.operators.cleaning import banded_columns, canonical_columns, derive_ratios, temporal_split
-from ratingloom.operators.metrics import PREDICTION_COLUMNS, score_rows
+from ratingloom.operators.metrics import PREDICTION_COLUMNS, high_error_flag, scored_errors
 from ratingloom.operators.ordering import row_position
 from ratingloom.operators.joins import join_on_keys, known_size
 from ratingloom.sources.readers import rename
@@ -122,10 +122,15 @@ def class_mean(train: DataFrame, df: DataFrame, name: str = "prediction") -> Dat
     return join_on_keys(df, known_size(means), ["vehicle_class"])
 
 
-def predictions(rows: DataFrame) -> DataFrame:
+def errors(rows: DataFrame) -> DataFrame:
     """Every rating scored by the class lines of the training years, other columns kept."""
     scored = class_line(rows.where(F.col("model_year") <= TRAIN_UNTIL), rows)
-    return score_rows(scored, MODEL, "prediction", "co2_emissions_g_km")
+    return scored_errors(scored, MODEL, "prediction", "co2_emissions_g_km")
+
+
+def predictions(rows: DataFrame) -> DataFrame:
+    """The errors with the high-error flag."""
+    return high_error_flag(errors(rows))
 
 
 def prediction_table(rows: DataFrame) -> DataFrame:
