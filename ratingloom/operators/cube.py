@@ -8,7 +8,7 @@ from ratingloom.functions.numeric import column, decimal_mean, label_position, s
 from ratingloom.functions.text import contains_literal
 from ratingloom.operators.benchmarks import COMBINED, EMISSIONS, ENGINE, GAP, records
 from ratingloom.operators.joins import known_size, with_one_row
-from ratingloom.operators.ordering import order_columns, top_n
+from ratingloom.operators.ordering import top_n
 
 SEGMENT_KEYS = ["model_year", "vehicle_class", "make", "model", "fuel_type"]
 WEIGHT = "vehicle_records"
@@ -140,7 +140,3 @@ def scaled_size(df: DataFrame, value: str, name: str, low: float = 34, span: flo
     """``low`` plus ``span`` times the share of the largest value."""
     largest = df.agg(F.max(value).alias("largest")).scalar()
     return df.withColumn(name, F.lit(low) + safe_ratio(column(value), largest) * F.lit(span))
-
-
-def top_groups(df: DataFrame, order: list[str], n: int, display: list[str]) -> DataFrame:
-    return top_n(df, order, n).orderBy(*order_columns(display))

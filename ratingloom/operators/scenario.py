@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratingloom.functions.numeric import column
 from ratingloom.functions.text import joined_label
 from ratingloom.operators.benchmarks import EMISSIONS, GAP
-from ratingloom.operators.joins import with_one_row
 from ratingloom.operators.ordering import GROUP_ROWS, order_columns, top_n, with_rank, with_tile
 from ratingloom.sources.schema import RECENT_SINCE
 
@@ -91,7 +90,3 @@ def axis_bounds(df: DataFrame, *names: str) -> DataFrame:
     """Smallest and largest value over several columns, one row."""
     columns = [F.col(name).cast("double") for name in names]
     return df.agg(F.min(F.least(*columns)).alias("lowest"), F.max(F.greatest(*columns)).alias("highest"))
-
-
-def within_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    return with_one_row(df, bounds)

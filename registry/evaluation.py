@@ -6,12 +6,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ratingloom.operators import metrics as M, models as ML
-from ratingloom.operators.metrics import PREDICTION_COLUMNS
 from ratingloom.operators.joins import join_on_keys, known_size
+from ratingloom.operators.metrics import PREDICTION_COLUMNS
 from ratingloom.operators.ordering import head_by, row_position
 from ratingloom.plans import validation as V, views as W
 from ratingloom.session import scratch_path, stored
-from ratingloom.sources import schema as S, writers as IO
+from ratingloom.sources import writers as IO
 from ratingloom.sources.literals import fuel_type_lookup, transmission_family_lookup
 from registry import tables as R
 from registry.catalog import query
