@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratingloom.session import shared_folder
@@ -18,6 +21,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless it is installed there anyway."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a reliable checkpoint in the folder that the cluster shares; later plans start there."""
     shared_folder(df.sparkSession)
@@ -34,7 +45,7 @@ def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         renamed = F.broadcast(renamed)
     condition = None
     for c in on:
-        same = big[c].eqNullSafe(renamed[f"__k_{c}"])
+        same = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
         condition = same if condition is None else condition & same
     return big.join(renamed, condition, how).drop(*[f"__k_{c}" for c in on])
 
