@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratingloom.llm import chat, decontam, line_templates, mixing, near_dups, neighbours, pii, token_counts
+from ratingloom.llm import chat, decontam, katz, line_templates, mixing, near_dups, neighbours, pii, token_counts
 from ratingloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,11 @@ FROM documents AS d JOIN roots ON d.doc_id = node LEFT JOIN sizes ON sizes.doc_i
 @_query("op8_near_duplicates", NEAR_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@_query("op9_katz")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def learned(doc_id):
+        return F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2
+
+    return katz.katz_scores(table(spark, sf_dir, "documents"), learned)
