@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratingloom.llm import chat, decontam, katz, line_templates, mixing, near_dups, neighbours, pii, token_counts
+from ratingloom.llm import chat, decontam, katz, line_templates, mixing, near_dups, neighbours, pii, token_counts, toxicity
 from ratingloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2
 
     return katz.katz_scores(table(spark, sf_dir, "documents"), learned)
+
+
+@_query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs.where(toxicity.learned_from(F.col("doc_id"))), labels)
+    scored = toxicity.toxicity(docs, machine)
+    return scored.select("doc_id", (~toxicity.learned_from(F.col("doc_id"))).alias("held_out"), "score", "predicted")
