@@ -214,17 +214,21 @@ def _features(codes: np.ndarray, kernel: LandmarkKernel, root: np.ndarray) -> np
 
 
 def spread_out(codes: np.ndarray, most: int, alike: float = 0.6) -> np.ndarray:
-    """Up to ``most`` of the strings, in their order, that no earlier choice already stands for."""
+    """Up to ``most`` of the first ``4 * most`` strings, in their order, that no earlier choice already stands for."""
+    codes = codes[: 4 * most]
+    if not len(codes):
+        return codes
+    between = LandmarkKernel(codes).of(codes)
     chosen: list[int] = []
     covered = np.zeros(len(codes))
     for i in range(len(codes)):
         if len(chosen) < most and covered[i] < alike:
             chosen.append(i)
-            covered = np.maximum(covered, LandmarkKernel(codes[i : i + 1]).of(codes)[:, 0])
+            covered = np.maximum(covered, between[:, i])
     return codes[chosen]
 
 
-def fit_machine(bags: list[list[str]], evidence: dict[str, float], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 4) -> Machine:
+def fit_machine(bags: list[list[str]], evidence: dict[str, float], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 2) -> Machine:
     """``bags``: candidate strings of each toxic document; ``evidence``: how much each speaks for toxicity by counts;
     ``clean``: strings that do not, those that are hardest to tell apart first."""
     pool = sorted({w for bag in bags for w in bag})
@@ -235,7 +239,7 @@ def fit_machine(bags: list[list[str]], evidence: dict[str, float], clean: list[s
     clean_codes = letter_codes([_read(w)[0] for w in clean])
     marked = [np.array([number[w] for w in bag]) for bag in bags if bag]
     of_toxic = spread_out(pool_codes[np.argsort(-prior, kind="stable")], landmarks // 2)
-    marks = np.vstack([of_toxic, spread_out(clean_codes[: 8 * landmarks], landmarks - len(of_toxic))])
+    marks = np.vstack([of_toxic, spread_out(clean_codes, landmarks - len(of_toxic))])
     kernel = LandmarkKernel(marks)
     values, vectors = np.linalg.eigh(kernel.of(marks).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
@@ -331,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     if not strong:
         return Machine(None, np.zeros(0), 0.0, 0.0, -500.0)
     frequent = by_string.where("good > 0").orderBy(F.desc("good"), "s").limit(LANDMARKS)
-    rest = by_string.where("good > 0").orderBy(F.xxhash64("s"), "s").limit(3 * CANDIDATES)
+    rest = by_string.where("good > 0").orderBy(F.xxhash64("s"), "s").limit(CANDIDATES)
     clean = [r["s"] for part in (frequent, rest) for r in part.select("s").collect()]
     in_bags = found.where("toxic = 1").join(F.broadcast(top.select("s")), "s", "left_semi")
     bags = [sorted(r["bag"]) for r in in_bags.groupBy("doc_id").agg(F.collect_set("s").alias("bag")).orderBy("doc_id").collect()]
