@@ -3,13 +3,14 @@
 A line goes down a tree of fixed depth: its number of tokens, then its leading tokens, tokens with a digit being a
 variable field. Under the leaf, lines are one template if they agree in all tokens, or in all but one of ``PARTS`` equal
 stretches of the tail, which then is a variable field as well (lines of ``LONG`` tokens and more). A template recurs if it
-stands in at least ``min_docs`` documents (``min_docs_short`` for lines under ``LONG`` tokens). Of a recurring template the
-line of the smallest document id stays and the others are dropped, so every dropped line has an earlier one of its kind.
+stands in several documents (and, for lines under ``LONG`` tokens, ``min_times_short`` times in all). Of a recurring
+template the lines of the document with the smallest id stay and those of the others are dropped, so every dropped line
+has one of its kind in an earlier document.
 
-Templates travel as 64-bit hashes beside the token count; only the final join moves texts. Nulls and odd rows: null and
+Templates travel as 64-bit hashes of token count and tokens; only the final join moves texts. Nulls and odd rows: null and
 empty texts have no lines and come back as they are; lines under ``min_tokens`` tokens are never judged; a line repeated
-within one document is judged by its first place; rows that repeat a document with its text get the same answer; null ids
-are documents of their own by their text.
+within one document only is not one that recurs across documents; rows that repeat an id count as one document; a null id
+stands for a document of its own, ordered by a hash of its text.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 DEPTH = 3
 PARTS = 4
 LONG = 8
-MIN_DOCS = 2
-MIN_DOCS_SHORT = 5
+MIN_TIMES_SHORT = 5
 MIN_TOKENS = 3
 
 _SPACE = r"[\x20\x09\x0B-\x0D]+"
@@ -28,12 +28,13 @@ _FIELD = r"[^\x20\x09\x0B-\x0D]*[0-9][^\x20\x09\x0B-\x0D]*"
 
 
 def line_tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit generalised."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
-    return F.array_remove(F.split(masked, _SPACE), "")
+    """Tokens of a line, those with a digit generalised. Most lines have neither digits nor other space than blanks."""
+    plain = ~line.rlike(r"[0-9\x09\x0B-\x0D]")
+    tokens = F.when(plain, F.split(line, " ")).otherwise(F.split(F.regexp_replace(line, _FIELD, "<*>"), _SPACE))
+    return F.array_remove(tokens, "")
 
 
-def template_keys(tokens: Column, depth: int = DEPTH, parts: int = PARTS, long: int = LONG) -> Column:
+def template_keys(tokens: Column, depth: int, parts: int, long: int, least: int) -> Column:
     """Hashes of the templates a line may belong to: all tokens first, then each stretch of the tail left open."""
     n = F.size(tokens)
     whole = F.xxhash64(F.lit(-1), n, tokens)
@@ -45,40 +46,32 @@ def template_keys(tokens: Column, depth: int = DEPTH, parts: int = PARTS, long:
         after = F.slice(tokens, F.least(begin + step, n) + 1, n)
         return F.xxhash64(F.lit(part), n, before, after)
 
-    return F.when(n >= long, F.array(whole, *[open_at(part) for part in range(parts)])).otherwise(F.array(whole))
+    return F.when(n >= long, F.array(whole, *[open_at(part) for part in range(parts)])).when(n >= least, F.array(whole))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int, min_docs_short: int, min_tokens: int, depth: int, parts: int, long: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_times_short: int, min_tokens: int, depth: int, parts: int, long: int) -> DataFrame:
     """(row, places): positions of the lines to drop, per document."""
-    lines = docs.select(
-        F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")
-    ).select("row", "doc_id", "place", line_tokens(F.col("line")).alias("tokens"))
-    judged = lines.where(F.size("tokens") >= min_tokens)
-    keyed = judged.select(
+    row = F.xxhash64("doc_id", "text")
+    lines = docs.select(row.alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # a line that is too short has no keys; a filter on the tokens would have them computed twice
+    keyed = lines.withColumn("tokens", line_tokens(F.col("line"))).select(
         "row",
-        "doc_id",
+        F.coalesce("doc_id", "row").alias("doc"),
         "place",
-        F.size("tokens").alias("n"),
-        F.explode(template_keys(F.col("tokens"), depth, parts, long)).alias("key"),
+        (F.size("tokens") >= long).alias("long"),
+        F.explode(template_keys(F.col("tokens"), depth, parts, long, min_tokens)).alias("key"),
     )
-    by_doc = keyed.groupBy("key", "n", "row", "doc_id").agg(F.min("place").alias("place"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("__last"), "doc_id", "row", "place"))
-    needed = F.when(F.col("n") >= long, F.lit(min_docs)).otherwise(F.lit(min_docs_short))
-    recurring = (
-        by_doc.groupBy("key", "n")
-        .agg(F.count(F.lit(1)).alias("docs"), first.alias("first"))
-        .where(F.col("docs") >= needed)
-        .select("key", "n", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
+    counted = keyed.groupBy("key").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("times"), F.max("long").alias("long")
     )
-    later = (F.col("row") != F.col("first_row")) | (F.col("place") != F.col("first_place"))
-    met = keyed.drop("doc_id").join(recurring, ["key", "n"]).where(later)
-    return met.groupBy("row").agg(F.collect_set("place").alias("places"))
+    recurs = (F.col("first") < F.col("last")) & (F.col("long") | (F.col("times") >= min_times_short))
+    met = keyed.select("key", "row", "doc", "place").join(counted.where(recurs).select("key", "first"), "key")
+    return met.where("doc <> first").groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
 def drop_recurring_lines(
     docs: DataFrame,
-    min_docs: int = MIN_DOCS,
-    min_docs_short: int = MIN_DOCS_SHORT,
+    min_times_short: int = MIN_TIMES_SHORT,
     min_tokens: int = MIN_TOKENS,
     depth: int = DEPTH,
     parts: int = PARTS,
@@ -86,16 +79,17 @@ def drop_recurring_lines(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """``docs`` with the kept lines as text and two columns more: ``n_lines``, ``n_dropped``."""
+    """``docs`` with the kept lines as text and the columns ``n_lines`` and ``n_dropped``, in place of any of that name."""
     packed = docs.select(F.struct("*").alias("__all"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    found = dropped_lines(packed.select("doc_id", "text"), min_docs, min_docs_short, min_tokens, depth, parts, long)
+    found = dropped_lines(packed.select("doc_id", "text"), min_times_short, min_tokens, depth, parts, long)
     marked = packed.withColumn("__row", F.xxhash64("doc_id", "text"))
     joined = marked.join(found, F.col("__row") == F.col("row"), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, at: ~F.array_contains("places", at))
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
-        *[text.alias(c) if c == text_column else F.col("__all").getField(c).alias(c) for c in docs.columns],
+        *[text.alias(c) if c == text_column else F.col("__all").getField(c).alias(c) for c in others],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
     )

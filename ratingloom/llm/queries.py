@@ -116,11 +116,10 @@ keyed AS (
   SELECT doc_id, place, n, part, t[1:least(3 + part * step, n)], t[least(3 + part * step + step, n) + 1:n]
   FROM judged, (SELECT unnest(range(0, 4)) AS part) WHERE n >= 8),
 recurring AS (
-  SELECT part, n, head, tail, min(struct_pack(d := doc_id, p := place)) AS first FROM keyed GROUP BY part, n, head, tail
-  HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 8 THEN 2 ELSE 5 END),
+  SELECT part, n, head, tail, min(doc_id) AS first FROM keyed GROUP BY part, n, head, tail
+  HAVING min(doc_id) < max(doc_id) AND (n >= 8 OR count(*) >= 5)),
 dropped AS (
-  SELECT DISTINCT doc_id, place FROM keyed JOIN recurring USING (part, n, head, tail)
-  WHERE doc_id <> first.d OR place <> first.p),
+  SELECT DISTINCT doc_id, place FROM keyed JOIN recurring USING (part, n, head, tail) WHERE doc_id <> first),
 kept AS (
   SELECT doc_id, count(*) AS n_lines, count(d.place) AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (d.place IS NULL), '') AS text
