@@ -133,6 +133,8 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.0, limit: int = SMALL_ROWS) -> DataFrame:
     """Documents whose words in hits are at most ``share`` of all their words; columns as they came."""
     bad = contamination(docs, benchmark, width, limit).where(F.col("n_hit") > F.lit(share) * F.col("n_words"))
-    keys = bad.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
-    return docs.join(keys, same, "left_anti")
+    keys = bad.select("doc_id", "mark").distinct()
+    # the row travels as one value, so that its columns may have any names
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("mark"))
+    return packed.join(keys, same, "left_anti").select("row.*")

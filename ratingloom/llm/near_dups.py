@@ -249,5 +249,6 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one document of each group, columns as they came; exact repeats of a kept row are one row as well."""
     found = near_duplicates(docs, **parameters)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return packed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
