@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratingloom.functions.numeric import clip_lower, decimal_mean, flag, half_even, relative_change, safe_ratio
-from ratingloom.operators.joins import join_on_keys, known_size, latest_only
-from ratingloom.operators.ordering import GROUP_ROWS, order_columns, with_rank
+from ratingloom.operators.joins import join_on_keys, latest_only
+from ratingloom.operators.ordering import order_columns, summary_rank
 from ratingloom.operators.quantiles import grouped_quantiles, value_counts, quantiles_of_counts
 
 EMISSIONS = "co2_emissions_g_km"
@@ -24,21 +24,18 @@ def peer_benchmark(
     keys: list[str],
     value: str,
     scale: int = 3,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Median and lower quartile of the peers on every row, with the distances to them.
 
-    A row with an unknown key has no peers. The peer table holds one row per group. Its size is known before the join, so the planner
-    broadcasts it when it is small; otherwise the join shuffles, and skewed groups are split.
+    A row with an unknown key has no peers. The peer table holds one row per group; adaptive execution broadcasts it when
+    it turns out small, otherwise the join shuffles and skewed groups are split.
     """
-    stats = grouped_quantiles(df, value, {"__median": 0.5, "__p25": 0.25}, keys, group_rows)
+    stats = grouped_quantiles(df, value, {"__median": 0.5, "__p25": 0.25}, keys)
     kind = f"decimal(18,{scale})"
-    peers = known_size(
-        stats.dropna(subset=keys).select(
-            *keys,
-            half_even("__median", scale).cast(kind).alias("class_year_co2_median"),
-            half_even("__p25", scale).cast(kind).alias("class_year_co2_p25"),
-        )
+    peers = stats.dropna(subset=keys).select(
+        *keys,
+        half_even("__median", scale).cast(kind).alias("class_year_co2_median"),
+        half_even("__p25", scale).cast(kind).alias("class_year_co2_p25"),
     )
     number = F.col(value).cast(kind)
     return join_on_keys(df, peers, keys).withColumns(
@@ -176,13 +173,13 @@ def class_benchmark(fact: DataFrame) -> DataFrame:
         decimal_mean("class_year_co2_median", 3).alias("median_co2_g_km"),
         decimal_mean("class_year_co2_p25", 3).alias("p25_co2_g_km"),
     )
-    return with_rank(known_size(summary), ["-average_co2_g_km"], ["model_year"], "high_to_low_emission_rank")
+    return summary_rank(summary, ["-average_co2_g_km"], ["model_year"], "high_to_low_emission_rank")
 
 
 def make_benchmark(fact: DataFrame) -> DataFrame:
     """Make-year averages ranked low to high in each year."""
     summary = fact.groupBy("model_year", "make").agg(records(), *_means())
-    return with_rank(known_size(summary), ["average_co2_g_km"], ["model_year"], "low_to_high_emission_rank")
+    return summary_rank(summary, ["average_co2_g_km"], ["model_year"], "low_to_high_emission_rank")
 
 
 def make_year_summary(fact: DataFrame) -> DataFrame:
@@ -213,14 +210,14 @@ def group_summaries(fact: DataFrame, specs: dict[str, list[str]] | None = None)
 def latest_class_rank(fact: DataFrame) -> DataFrame:
     latest = latest_only(fact, "model_year")
     summary = latest.groupBy("vehicle_class").agg(records(), *_means(engine=False, gap=False))
-    return with_rank(known_size(summary), ["-average_co2_g_km"], name="high_emission_rank")
+    return summary_rank(summary, ["-average_co2_g_km"], name="high_emission_rank")
 
 
 def latest_make_rank(fact: DataFrame, min_records: int = 5) -> DataFrame:
     latest = latest_only(fact, "model_year")
     summary = latest.groupBy("make").agg(records(), *_means(combined=False, gap=False))
-    guarded = known_size(summary.where(F.col("vehicle_records") >= min_records))
-    return with_rank(guarded, ["average_co2_g_km"], name="low_emission_rank")
+    guarded = summary.where(F.col("vehicle_records") >= min_records)
+    return summary_rank(guarded, ["average_co2_g_km"], name="low_emission_rank")
 
 
 def engine_band_case(fact: DataFrame, band: Column) -> DataFrame:

@@ -140,6 +140,14 @@ def clean_ratings(
     return dense_key(benchmarked, order, "vehicle_id").select(*S.CLEAN_COLUMNS)
 
 
+# fixed values: steps of the cleaning log and their reasons
+_STEPS = (
+    ("source ingestion", "Read supplied CSV without modifying it"),
+    ("exact duplicate removal", "Remove only fully identical records"),
+    ("canonicalization and feature engineering", "Standardize names and create auditable peer benchmarks"),
+)
+
+
 def cleaning_log(raw: DataFrame, columns: list[str], order: str) -> DataFrame:
     """Rows before and after each cleaning step, from one count of the raw table."""
     counted = first_of_copies(raw, columns, order).agg(
@@ -147,11 +155,7 @@ def cleaning_log(raw: DataFrame, columns: list[str], order: str) -> DataFrame:
         F.count(F.lit(1)).alias("kept_rows"),
     )
     source, kept = F.col("source_rows"), F.col("kept_rows")
-    steps = [
-        (1, "source ingestion", source, source),
-        (2, "exact duplicate removal", source, kept),
-        (3, "canonicalization and feature engineering", kept, kept),
-    ]
+    counts = [(source, source), (source, kept), (kept, kept)]
     entries = [
         F.struct(
             F.lit(i).alias("position"),
@@ -159,7 +163,8 @@ def cleaning_log(raw: DataFrame, columns: list[str], order: str) -> DataFrame:
             before.alias("rows_before"),
             after.alias("rows_after"),
             (before - after).alias("rows_removed"),
+            F.lit(reason).alias("reason"),
         )
-        for i, step, before, after in steps
+        for i, ((step, reason), (before, after)) in enumerate(zip(_STEPS, counts, strict=True), start=1)
     ]
     return counted.select(F.inline(F.array(*entries)))

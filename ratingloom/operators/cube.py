@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratingloom.functions.numeric import column, decimal_mean, label_position, safe_ratio
 from ratingloom.functions.text import contains_literal
 from ratingloom.operators.benchmarks import COMBINED, EMISSIONS, ENGINE, GAP, records
-from ratingloom.operators.joins import known_size, with_one_row
+from ratingloom.operators.joins import with_one_row
 from ratingloom.operators.ordering import top_n
 
 SEGMENT_KEYS = ["model_year", "vehicle_class", "make", "model", "fuel_type"]
@@ -98,7 +98,7 @@ def category_mix(df: DataFrame, key: str, value: str, limit: int = 6, other: str
     Only ``limit`` rows are ever ranked. Categories outside them are summed where they are, and ties at
     the cut go to the smaller key.
     """
-    grouped = known_size(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value).alias(value)))
+    grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value).alias(value))
     groups = grouped.agg(F.count(F.lit(1))).scalar()
     order = [f"-{value}", key]
     few = top_n(grouped, order, limit).where(groups <= limit)

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked small sides, null-safe keys, one-row attachments, integrity checks."""
+"""Join helpers: settled small sides, null-safe keys, one-row attachments, integrity checks."""
 
 from __future__ import annotations
 
@@ -6,20 +6,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ratingloom.session import shared_folder
 
-def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist an aggregate, compute it once and return it with its row count.
-
-    The planner then knows the true size of the relation, so a later join broadcasts it only below
-    ``spark.sql.autoBroadcastJoinThreshold`` and falls back to a shuffled join above it.
-    """
-    kept = df.persist()
-    return kept, kept.count()
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small result that several plans read, computed once and kept as a checkpoint in the shared folder.
 
-def known_size(df: DataFrame) -> DataFrame:
-    """``measured`` without the count."""
-    return measured(df)[0]
+    Spark's context cleaner removes the files with the frame, where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is on; nothing stays persisted on executors.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

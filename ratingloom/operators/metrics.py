@@ -12,8 +12,8 @@ from ratingloom.functions.numeric import (
     half_even,
     safe_ratio,
 )
-from ratingloom.operators.joins import join_eval, join_on_keys, known_size, with_one_row
-from ratingloom.operators.ordering import GROUP_ROWS, order_columns, top_n, with_cume_dist, with_rank
+from ratingloom.operators.joins import join_eval, join_on_keys, with_one_row
+from ratingloom.operators.ordering import order_columns, top_n, with_cume_dist, with_rank
 from ratingloom.operators.quantiles import ROWS, grouped_quantiles, value_counts
 from ratingloom.sources import schema as S
 
@@ -30,7 +30,6 @@ def regression_metrics(
     predicted: str = PREDICTED,
     keys: list[str] | tuple = (),
     extra: list[Column] | None = None,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Rows, MAE, RMSE, MAPE, R², mean error and exact P90 of the absolute error per group.
 
@@ -51,7 +50,7 @@ def regression_metrics(
         (F.lit(1.0) - safe_ratio(squares, F.var_pop(y) * F.count(y))).alias("r_squared"),
         F.avg(error).alias("mean_error_pred_minus_actual"),
     )
-    tail = grouped_quantiles(scored, "__size", {"p90_absolute_error": 0.9}, keys, group_rows)
+    tail = grouped_quantiles(scored, "__size", {"p90_absolute_error": 0.9}, keys)
     return join_on_keys(summary, tail, keys) if keys else with_one_row(summary, tail)
 
 
@@ -90,15 +89,14 @@ def worst_share(
     value: str = ABSOLUTE,
     cut: float = 0.90,
     name: str = "error_percentile",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Rows whose CUME_DIST reaches the cut, ties included, with that share.
 
     Shares come from counted distinct values. The smallest value of the tail filters the rows before
     they are joined, so only the tail moves.
     """
-    shares = with_cume_dist(value_counts(predictions, value), value, ROWS, name=name, group_rows=group_rows)
-    tail = known_size(shares.where(F.col(name) >= cut).select(value, name))
+    shares = with_cume_dist(value_counts(predictions, value), value, ROWS, name=name)
+    tail = shares.where(F.col(name) >= cut).select(value, name)
     threshold = tail.agg(F.min(value).alias("smallest")).scalar()
     return predictions.where(F.col(value) >= threshold).join(tail, value)
 
@@ -126,7 +124,6 @@ def segment_errors(
     segments: dict[str, str] | None = None,
     actual: str = ACTUAL,
     predicted: str = PREDICTED,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The metric set of several independent groupings, stacked, from one scan and one grouping."""
     chosen = segments or SEGMENTS
@@ -139,7 +136,7 @@ def segment_errors(
         F.avg(F.col(predicted).cast("double")).alias("average_predicted_co2_g_km"),
     ]
     known = stacked.where(F.col("segment_value").isNotNull())
-    return regression_metrics(known, actual, predicted, ["segment_type", "segment_value"], means, group_rows)
+    return regression_metrics(known, actual, predicted, ["segment_type", "segment_value"], means)
 
 
 def split_summary(

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from ratingloom.operators.joins import reproduction_diff, with_one_row
 from ratingloom.operators.metrics import METRICS, metric_row, metrics_ledger, regression_metrics, select_best
-from ratingloom.operators.ordering import head_by, row_position
+from ratingloom.operators.ordering import head_by, row_position, summary_position
 from ratingloom.operators.quantiles import grouped_quantiles
 from ratingloom.sources import schema as S
 
@@ -367,21 +367,21 @@ def leaky_diagnostic(
 
 
 def shuffled_partners(
-    df: DataFrame, key: str, columns: list[str], repeats: int, seed: int = SEED, group_rows: int | None = None
+    df: DataFrame, key: str, columns: list[str], repeats: int, seed: int = SEED
 ) -> DataFrame:
     """For every repeat, each row with the ``columns`` of another row of a random permutation.
 
-    Rows are numbered by key and, per repeat, by a digest of key and seed; equal numbers are partners.
-    Both numberings spread over range partitions when the frame is large.
+    Rows are numbered by key, once for all repeats, and per repeat by a digest of key and seed; equal numbers are
+    partners.
     """
-    bound = {} if group_rows is None else {"group_rows": group_rows}
-    repeated = df.withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    rows = row_position(repeated, [key], ["__repeat"], "__spot", **bound)
-    drawn = repeated.select(
+    every = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
+    numbered = row_position(df, [key], name="__spot")
+    rows = numbered.withColumn("__repeat", every)
+    drawn = numbered.drop("__spot").withColumn("__repeat", every).select(
         "__repeat", key, F.struct(*columns).alias("__partner"),
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__repeat"), F.col(key))).alias("__draw"),
     )
-    partners = row_position(drawn, ["__draw", key], ["__repeat"], "__spot", **bound)
+    partners = row_position(drawn, ["__draw", key], ["__repeat"], "__spot")
     return rows.join(partners.select("__repeat", "__spot", "__partner"), ["__repeat", "__spot"]).drop("__spot")
 
 
@@ -394,14 +394,13 @@ def permutation_importance(
     repeats: int = REPEATS,
     seed: int = SEED,
     target: str = TARGET,
-    group_rows: int | None = None,
 ) -> DataFrame:
     """Mean and population deviation of the MAE increase when one feature is shuffled, best first."""
     actual = F.col(target).cast("double")
     needed = df.select(key, target, *features)
     error = F.abs(F.col(RAW_PREDICTION) - actual)
     intact = model.transform(needed).agg(F.avg(error).alias("intact_mae"))
-    paired = shuffled_partners(needed, key, features, repeats, seed, group_rows).persist()
+    paired = shuffled_partners(needed, key, features, repeats, seed).persist()
     shuffled = []
     for name in features:
         swapped = paired.withColumn(name, F.col(f"__partner.{name}"))
@@ -416,7 +415,7 @@ def permutation_importance(
         F.stddev_pop(increase).alias("importance_std"),
     )
     named = table.withColumn("model_name", F.lit(model_name))
-    numbered = row_position(named, ["-importance_mean_mae_increase", "feature"], name="importance_id")
+    numbered = summary_position(named, ["-importance_mean_mae_increase", "feature"], "importance_id")
     return numbered.select(
         "importance_id", "model_name", "feature", "importance_mean_mae_increase", "importance_std"
     )

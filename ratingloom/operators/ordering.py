@@ -1,20 +1,17 @@
 """Positions, ranks, running totals and top-k that hold when one group has most of the rows.
 
-Orders are given as names, with a leading ``-`` for descending. Each operator looks at the size of the
-largest group first. Groups a task can sort use Spark's window functions. Larger ones are range
-partitioned on the full sort key, so a single group spreads over many tasks, and the per-partition
-sizes, at most one row per group and partition, give the offsets.
+Orders are given as names, with a leading ``-`` for descending. Per-row operators range-partition on the full sort key, so
+a single group spreads over many tasks, and the per-partition sizes, at most one row per group and partition, give the
+offsets. ``summary_rank`` is for frames that are aggregated already, where a group is a few rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratingloom.operators.joins import join_on_keys, measured
+from ratingloom.operators.joins import join_on_keys
 from ratingloom.session import shared_folder
 
-# rows one task sorts without holding up its stage
-GROUP_ROWS = 1_000_000
 _PART = "__part"
 _SLOT = "__slot"
 
@@ -27,12 +24,6 @@ def order_names(order: list[str]) -> list[str]:
     return [name.lstrip("-") for name in order]
 
 
-def largest_group(df: DataFrame, keys: list[str] | tuple = ()) -> int:
-    """Rows in the largest group."""
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return groups.agg(F.max("rows")).first()[0] or 0
-
-
 def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows in range partitions of the sort key, with partition and slot fixed by a checkpoint.
 
@@ -52,7 +43,7 @@ def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def _offsets(placed: DataFrame, keys: list[str], *aggregates: Column, carry: str) -> DataFrame:
     """Per (partition, group) aggregates plus the total of ``carry`` in earlier partitions."""
-    groups, _ = measured(placed.groupBy(_PART, *keys).agg(*aggregates))
+    groups = placed.groupBy(_PART, *keys).agg(*aggregates)
     earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     return groups.withColumn("__before", F.coalesce(F.sum(carry).over(earlier), F.lit(0)))
 
@@ -63,13 +54,9 @@ def row_position(
     keys: list[str] | tuple = (),
     name: str = "position",
     start: int = 1,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Dense position of each row in its group under a total order."""
     keys = list(keys)
-    if largest_group(df, keys) <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order_columns(order))
-        return df.withColumn(name, (F.row_number().over(window) + (start - 1)).cast("long"))
     placed = _placed(df, keys, order)
     offsets = _offsets(
         placed, keys, F.count(F.lit(1)).alias("__rows"), F.min(_SLOT).alias("__first"), carry="__rows"
@@ -80,38 +67,43 @@ def row_position(
 
 
 def natural_position(df: DataFrame, name: str = "source_row_number", start: int = 2) -> DataFrame:
-    """Number rows in the order their source yields them; 2 skips a header line.
+    """Number the rows of a file source by path, place of the block in its file and row in the block; 2 skips a header.
 
-    The rows are stored once with the partition and slot they were read in. Numbers derive from that
-    stored placement, so later stages cannot disagree about it, whatever splits a new scan would use.
+    Spark packs the blocks of files into partitions in an order of its own, so blocks are put in order by what they are,
+    not by where they were read. The placement is stored once; later stages cannot disagree about it.
     """
     shared_folder(df.sparkSession)
+    block = ["__file", "__block"]
     placed = (
-        df.withColumn(_PART, F.spark_partition_id())
+        df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start")})
         .withColumn(_SLOT, F.monotonically_increasing_id())
         .checkpoint()
     )
-    offsets = _offsets(
-        placed, [], F.count(F.lit(1)).alias("__rows"), F.min(_SLOT).alias("__first"), carry="__rows"
-    )
-    joined = join_on_keys(placed, offsets, [_PART])
+    blocks = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("__rows"), F.min(_SLOT).alias("__first"))
+    # one row per block of a file
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    joined = join_on_keys(placed, offsets, block)
     number = F.col("__before") + F.col(_SLOT) - F.col("__first") + F.lit(start)
     return joined.select(number.cast("long").alias(name), *df.columns)
 
 
-def dense_key(df: DataFrame, order: str, name: str = "vehicle_id", chunk: int = 250_000) -> DataFrame:
-    """Surrogate key 1..N in the order of a unique whole-number column.
+def dense_key(df: DataFrame, order: str, name: str = "vehicle_id") -> DataFrame:
+    """Surrogate key 1..N in the order of a unique column, however sparse its values are."""
+    keyed = row_position(df, [order], name="__key")
+    return keyed.select(F.col("__key").alias(name), *df.columns)
 
-    The chunk of a row is a function of its own number, so no group exceeds ``chunk`` rows and a
-    recomputed task gives the same keys; only one row per chunk is needed to join the parts.
-    """
-    chunked = df.withColumn("__chunk", F.floor(F.col(order) / F.lit(chunk)))
-    sizes, _ = measured(chunked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__rows")))
-    earlier = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__chunk", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__chunk").orderBy(order)
-    keyed = chunked.withColumn("__row", F.row_number().over(within)).join(offsets, "__chunk")
-    return keyed.select((F.col("__before") + F.col("__row")).cast("long").alias(name), *df.columns)
+
+def summary_rank(df: DataFrame, order: list[str], keys: list[str] | tuple = (), name: str = "rank") -> DataFrame:
+    """RANK with gaps on ties for an aggregated frame; a group is sorted in one task."""
+    window = Window.partitionBy(*keys).orderBy(*order_columns(order))
+    return df.withColumn(name, F.rank().over(window).cast("long"))
+
+
+def summary_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Dense position 1..N for a frame of a few aggregated rows."""
+    window = Window.orderBy(*order_columns(order))
+    return df.withColumn(name, F.row_number().over(window).cast("long"))
 
 
 def running_totals(
@@ -120,15 +112,9 @@ def running_totals(
     weight: str,
     keys: list[str] | tuple = (),
     name: str = "running",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` in each group; the order must be unique within a group."""
     keys = list(keys)
-    if largest_group(df, keys) <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order_columns(order))
-        return df.withColumn(
-            name, F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        )
     placed = _placed(df, keys, order)
     offsets = _offsets(placed, keys, F.sum(weight).alias("__sum"), carry="__sum")
     local = Window.partitionBy(_PART, *keys).orderBy(_SLOT)
@@ -146,16 +132,12 @@ def with_rank(
     order: list[str],
     keys: list[str] | tuple = (),
     name: str = "rank",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """RANK with gaps on ties. Beyond ``group_rows`` ties collapse to counted values before ranking."""
+    """RANK with gaps on ties; rows collapse to counted values before those are ranked."""
     keys = list(keys)
-    if largest_group(df, keys) <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order_columns(order))
-        return df.withColumn(name, F.rank().over(window).cast("long"))
     by = [*keys, *[n for n in order_names(order) if n not in keys]]
-    values, _ = measured(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")))
-    totals = running_totals(values, order, "__n", keys, "__running", group_rows)
+    values = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    totals = running_totals(values, order, "__n", keys, "__running")
     ranks = totals.select(*by, (F.col("__running") - F.col("__n") + 1).cast("long").alias(name))
     return join_on_keys(df, ranks, by)
 
@@ -166,11 +148,10 @@ def with_cume_dist(
     count: str,
     keys: list[str] | tuple = (),
     name: str = "cume_dist",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """CUME_DIST of each distinct value from its row count; ties share the upper share."""
     keys = list(keys)
-    totals = running_totals(values, [value], count, keys, "__running", group_rows)
+    totals = running_totals(values, [value], count, keys, "__running")
     sizes = values.groupBy(*keys).agg(F.sum(count).alias("__total"))
     share = F.col("__running") / F.col("__total")
     if keys:
@@ -184,15 +165,11 @@ def with_tile(
     tiles: int,
     keys: list[str] | tuple = (),
     name: str = "tile",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """NTILE under a total order: the first ``rows % tiles`` tiles hold one row more."""
     keys = list(keys)
-    if largest_group(df, keys) <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order_columns(order))
-        return df.withColumn(name, F.ntile(tiles).over(window).cast("int"))
-    placed = row_position(df, order, keys, "__position", group_rows=group_rows)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    placed = row_position(df, order, keys, "__position")
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     sized = join_on_keys(placed, sizes, keys) if keys else placed.withColumn("__rows", sizes.scalar())
     small, extra = F.floor(F.col("__rows") / tiles), F.col("__rows") % tiles
     long_span = extra * (small + 1)

@@ -239,6 +239,8 @@ def audit_report(raw: DataFrame, clean: DataFrame, raw_columns: list[str] | None
             ),
             "column_name",
         ),
+        "clean_rows": clean.agg(F.count(F.lit(1)).alias("n")).scalar(),
+        "date_range": one(clean.agg(F.min("model_year").alias("min_model_year"), F.max("model_year").alias("max_model_year"))),
         "rating_availability": one(availability(clean, ["co2_rating", "smog_rating"])),
         "iqr_outliers": listed(iqr_outliers(clean, outlier_columns), "column_name"),
         "consumption_correlation": correlation(clean, "co2_emissions_g_km", "fuel_cons_comb_l_100km").scalar(),
@@ -250,8 +252,10 @@ def audit_report(raw: DataFrame, clean: DataFrame, raw_columns: list[str] | None
     counted = raw.agg(F.count(F.lit(1)).alias("source_rows"))
     return counted.select(
         "source_rows",
+        *[part.alias(name) for name, part in parts.items() if name == "clean_rows"],
+        (F.col("source_rows") - parts["clean_rows"]).alias("rows_removed_as_exact_duplicates"),
         F.lit(len(names)).alias("source_columns"),
         F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(t).alias("data_type")) for n, t in raw.dtypes if n in names]).alias("source_types"),
         F.array(*[F.lit(n) for n in S.LEAKY_COLUMNS]).alias("excluded_from_primary_model"),
-        *[expr.alias(name) for name, expr in parts.items()],
+        *[expr.alias(name) for name, expr in parts.items() if name != "clean_rows"],
     )

@@ -9,20 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratingloom.operators.joins import join_on_keys
-from ratingloom.operators.ordering import GROUP_ROWS, largest_group, running_totals
+from ratingloom.operators.ordering import running_totals
 
 ROWS = "rows"
 
 
 def value_counts(df: DataFrame, value: str, keys: list[str] | tuple = ()) -> DataFrame:
-    """(keys, value, rows) over known values; NaN is not a known value.
-
-    The frame is persisted: whoever looks at its group sizes first computes it, later readers reuse it.
-    """
+    """(keys, value, rows) over known values; NaN is not a known value."""
     known = F.col(value).isNotNull()
     if dict(df.dtypes)[value] in ("double", "float"):
         known = known & ~F.isnan(value)
-    return df.where(known).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS)).persist()
+    return df.where(known).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ROWS))
 
 
 def quantiles_of_counts(
@@ -30,18 +27,11 @@ def quantiles_of_counts(
     value: str,
     probs: dict[str, float],
     keys: list[str] | tuple = (),
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """One row per group with an interpolated quantile per entry of ``probs``."""
     keys = list(keys)
-    if largest_group(counts, keys) <= group_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
-        found = counts.groupBy(*keys).agg(
-            F.percentile(F.col(value).cast("double"), wanted, F.col(ROWS)).alias("__found")
-        )
-        return found.select(*keys, *[F.col("__found")[i].alias(n) for i, n in enumerate(probs)])
-    totals = running_totals(counts, [value], ROWS, keys, "__running", group_rows)
-    sizes = counts.groupBy(*keys).agg(F.sum(ROWS).alias("__total"))
+    totals = running_totals(counts, [value], ROWS, keys, "__running")
+    sizes = totals.groupBy(*keys).agg(F.sum(ROWS).alias("__total"))
     if keys:
         sized = join_on_keys(totals, sizes, keys)
     else:
@@ -74,7 +64,6 @@ def grouped_quantiles(
     value: str,
     probs: dict[str, float],
     keys: list[str] | tuple = (),
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per group; groups without a known value are absent."""
-    return quantiles_of_counts(value_counts(df, value, keys), value, probs, keys, group_rows)
+    return quantiles_of_counts(value_counts(df, value, keys), value, probs, keys)

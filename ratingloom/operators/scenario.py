@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratingloom.functions.numeric import column
 from ratingloom.functions.text import joined_label
 from ratingloom.operators.benchmarks import EMISSIONS, GAP
-from ratingloom.operators.ordering import GROUP_ROWS, order_columns, top_n, with_rank, with_tile
+from ratingloom.operators.ordering import order_columns, top_n, with_rank, with_tile
 from ratingloom.sources.schema import RECENT_SINCE
 
 GRAMS_PER_TONNE = 1_000_000
@@ -15,10 +15,14 @@ RANK_NAME = "within_class_opportunity_rank"
 PEERS = ["model_year", "vehicle_class"]
 
 
-def opportunities(detail: DataFrame, since: int = RECENT_SINCE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Recent rows above their peers' lower quartile, ranked by gap, then emissions, among their peers."""
-    recent = detail.where((F.col("model_year") >= since) & (F.col(GAP) > 0))
-    return with_rank(recent, [f"-{GAP}", f"-{EMISSIONS}"], PEERS, RANK_NAME, group_rows)
+def opportunities(detail: DataFrame, since: int = RECENT_SINCE) -> DataFrame:
+    """Recent rows above their peers' lower quartile."""
+    return detail.where((F.col("model_year") >= since) & (F.col(GAP) > 0))
+
+
+def ranked_opportunities(detail: DataFrame, since: int = RECENT_SINCE) -> DataFrame:
+    """The opportunities ranked by gap, then emissions, among their peers."""
+    return with_rank(opportunities(detail, since), [f"-{GAP}", f"-{EMISSIONS}"], PEERS, RANK_NAME)
 
 
 def top_opportunities(
@@ -40,12 +44,11 @@ def opportunity_quartile(
     tiles: int = 4,
     keep: int = 1,
     tie: list[str] | tuple = ("vehicle_id",),
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Recent rows in the first gap quartile of their peers."""
     columns = ["vehicle_id", *PEERS, "make", "model", EMISSIONS, "class_year_co2_p25", GAP]
     recent = fact.where(F.col("model_year") >= since).select(*columns)
-    tiled = with_tile(recent, [f"-{GAP}", *tie], tiles, PEERS, "opportunity_quartile", group_rows)
+    tiled = with_tile(recent, [f"-{GAP}", *tie], tiles, PEERS, "opportunity_quartile")
     kept = tiled.where(F.col("opportunity_quartile") == keep)
     return kept.orderBy(*order_columns([f"-{GAP}", f"-{EMISSIONS}", *tie]))
 

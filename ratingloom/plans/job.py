@@ -10,10 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratingloom.operators import metrics as M, models as ML
-from ratingloom.operators.benchmarks import group_summaries
+from ratingloom.operators.benchmarks import class_year_stats, group_summaries, make_year_summary, yearly_summary
 from ratingloom.operators.cleaning import clean_ratings, cleaning_log, split_exact_duplicates
-from ratingloom.operators.joins import known_size
-from ratingloom.operators.ordering import natural_position, row_position
+from ratingloom.operators.joins import settled
+from ratingloom.operators.ordering import natural_position, summary_position
 from ratingloom.operators.quality import audit_report, dq_checks, enforce
 from ratingloom.operators.scenario import top_opportunities
 from ratingloom.plans import validation as V, views as W
@@ -49,15 +49,20 @@ def ingest(spark: SparkSession, csv: str, folder: str) -> DataFrame:
 def clean(spark: SparkSession, raw: DataFrame, folder: str, settings: Settings) -> DataFrame:
     """Clean table, verified; the removed duplicates, the audit and the summaries are written beside it."""
     _, removed = split_exact_duplicates(raw, list(S.COLUMN_MAP), "source_row_number")
-    IO.export_csv(removed.orderBy("source_row_number"), f"{folder}/removed_exact_duplicates")
+    IO.export_csv(removed.orderBy("source_row_number"), f"{folder}/removed_exact_duplicates", single_file=False)
     cleaned = clean_ratings(raw, "source_row_number", settings.train_until, settings.validate_until)
     bad = (F.col("co2_emissions_g_km") <= 0) | (F.col("engine_size_l") <= 0) | (F.col("cylinders") <= 0)
     table = IO.load_table(cleaned, f"{folder}/clean", S.CLEAN_COLUMNS, "vehicle_id", bad)
     enforce(dq_checks(table, settings.first_year, settings.last_year))
     IO.write_report(audit_report(raw, table), f"{folder}/data_audit_report")
     IO.export_csv(cleaning_log(raw, list(S.COLUMN_MAP), "source_row_number"), f"{folder}/cleaning_log")
-    IO.export_csv(data_dictionary(spark).orderBy("position"), f"{folder}/data_dictionary")
-    IO.export_all(group_summaries(table), f"{folder}/summaries")
+    IO.export_csv(data_dictionary(table).orderBy("position"), f"{folder}/data_dictionary")
+    plain = {
+        "yearly_summary": yearly_summary(table, settings.base_year),
+        "class_year_stats": class_year_stats(table),
+        "make_year_summary": make_year_summary(table),
+    }
+    IO.export_all(group_summaries(table) | plain, f"{folder}/summaries")
     IO.export_csv(top_opportunities(table, settings.recent_since), f"{folder}/summaries/top_opportunities")
     return table
 
@@ -78,7 +83,7 @@ def train(spark: SparkSession, table: DataFrame, folder: str, settings: Settings
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     wide = kept(rows.select(*M.PREDICTION_COLUMNS, "model_year", "vehicle_class", "fuel_type", "engine_size_band"), "scored")
-    errors = known_size(M.segment_errors(wide.where(F.col("data_split") == "test")))
+    errors = settled(M.segment_errors(wide.where(F.col("data_split") == "test")))
     features = ML.NUMERIC_FEATURES + ML.CATEGORICAL_FEATURES
     if found.model is None:
         importance = spark.createDataFrame(
@@ -99,7 +104,7 @@ def train(spark: SparkSession, table: DataFrame, folder: str, settings: Settings
         metrics=kept(found.metrics, "model_metrics"),
         importance=kept(importance, "feature_importance"),
         segment_errors=kept(
-            row_position(errors, ["segment_type", "segment_value"], name="segment_error_id"), "model_segment_errors"
+            summary_position(errors, ["segment_type", "segment_value"], "segment_error_id"), "model_segment_errors"
         ),
         base_year=settings.base_year,
         recent_since=settings.recent_since,
@@ -135,7 +140,7 @@ def validate(spark: SparkSession, raw: DataFrame, tables: W.Tables, views: dict,
             f"{folder}/model", tables.ratings, tables.predictions, "vehicle_id", M.PREDICTED
         )
         ledgers.append(V.reproduction_checks(found, ML.REPRODUCTION_TOLERANCE))
-    report = known_size(V.validation_report(*ledgers))
+    report = settled(V.validation_report(*ledgers))
     IO.export_csv(report, f"{folder}/validation_checks")
     IO.write_report(V.validation_summary(report), f"{folder}/validation_report")
     V.enforce_report(report)

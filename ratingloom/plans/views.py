@@ -10,7 +10,7 @@ from ratingloom.functions.numeric import relative_change
 from ratingloom.operators.benchmarks import class_benchmark, make_benchmark, yearly_means, yearly_trend
 from ratingloom.operators.joins import attach_predictions, decode_join, with_one_row
 from ratingloom.operators.metrics import METRICS, PREDICTION_COLUMNS, importance_rank, selected_metric, stack
-from ratingloom.operators.scenario import opportunities
+from ratingloom.operators.scenario import ranked_opportunities
 from ratingloom.sources import schema as S
 
 
@@ -110,7 +110,7 @@ def build_views(tables: Tables) -> dict[str, DataFrame]:
         "make_benchmark": make_benchmark(tables.ratings),
         "model_performance": model_performance(tables.metrics),
         "feature_importance": importance_rank(tables.importance),
-        "high_emission_opportunities": opportunities(detail, tables.recent_since),
+        "high_emission_opportunities": ranked_opportunities(detail, tables.recent_since),
         "test_segment_errors": segment_error_view(tables.segment_errors),
         "kpis": kpis(tables.ratings, tables.metrics, tables.predictions),
     }

@@ -40,8 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/ratingloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; the application deletes it when it ends."""
+    path = f"{shared_folder(spark)}/ratingloom/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

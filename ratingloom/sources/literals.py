@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.sources.schema import FUEL_TYPES, TRANSMISSION_FAMILIES
+from ratingloom.sources.schema import COLUMN_MAP, FUEL_TYPES, LEAKY_COLUMNS, TRANSMISSION_FAMILIES
 
 
 def lookup_table(spark: SparkSession, rows: dict[str, str], code: str, label: str) -> DataFrame:
@@ -22,49 +22,46 @@ def transmission_family_lookup(spark: SparkSession) -> DataFrame:
     )
 
 
-_DICTIONARY = """
-vehicle_id|integer|dense key given after exact duplicates are gone|identifier
-source_row_number|integer|line of the source file, header counted|audit
-model_year|integer|model year of the rating|feature, period split
-make|text|manufacturer, canonical spelling|feature, segment
-model|text|model or configuration, canonical spelling|reporting
-vehicle_class_raw|text|class as delivered|audit
-vehicle_class|category|class under one naming for all years|feature, segment
-engine_size_l|decimal|displacement in litres|feature
-cylinders|integer|cylinder count|feature
-transmission|text|transmission code|source
-transmission_family_code|category|letters of the transmission code|lookup key
-transmission_family|category|name of the transmission family|feature, segment
-gear_count|integer|gears in the transmission code, 0 if it names none|feature
-fuel_type_code|category|fuel letter|lookup key
-fuel_type|category|name of the fuel|feature, segment
-fuel_cons_city_l_100km|decimal|city consumption, litres per 100 km|measured
-fuel_cons_hwy_l_100km|decimal|highway consumption, litres per 100 km|measured
-fuel_cons_comb_l_100km|decimal|combined consumption, litres per 100 km|measured, leaks the target
-fuel_economy_comb_mpg|integer|combined economy, miles per gallon|measured, leaks the target
-co2_emissions_g_km|integer|rated tailpipe CO2, grams per km|target
-co2_rating|nullable integer|published CO2 score, absent in early years|reporting
-smog_rating|nullable integer|published smog score, absent in early years|reporting
-city_hwy_gap_l_100km|decimal|city minus highway consumption|derived
-city_hwy_ratio|decimal|city over highway consumption|derived
-co2_per_comb_l|decimal|CO2 over combined consumption|diagnostic
-engine_size_band|category|displacement band|segment
-class_year_co2_median|decimal|median CO2 of the year and class|peer benchmark
-class_year_co2_p25|decimal|lower quartile of CO2 of the year and class|peer benchmark
-co2_vs_class_year_median|decimal|CO2 minus the peer median|peer benchmark
-co2_gap_to_class_p25|decimal|CO2 above the peer lower quartile, else 0|scenario input
-above_class_year_median|binary|1 above the peer median|flag
-city_below_highway_flag|binary|1 where city use is below highway use|quality flag
-emission_band|category|CO2 band|segment
-model_split|category|train, validation or test period|evaluation
-"""
+# how the columns that are no source column come about
+_DERIVED = {
+    "vehicle_id": "position 1..N in source order after exact duplicates are removed",
+    "source_row_number": "line of the source file, the header being line 1",
+    "vehicle_class": "vehicle_class_raw under one spelling",
+    "transmission_family_code": "leading letters of transmission",
+    "transmission_family": "name of transmission_family_code",
+    "gear_count": "trailing digits of transmission, 0 without digits",
+    "fuel_type": "name of fuel_type_code",
+    "city_hwy_gap_l_100km": "fuel_cons_city_l_100km - fuel_cons_hwy_l_100km",
+    "city_hwy_ratio": "fuel_cons_city_l_100km / fuel_cons_hwy_l_100km",
+    "co2_per_comb_l": "co2_emissions_g_km / fuel_cons_comb_l_100km",
+    "engine_size_band": "band of engine_size_l",
+    "class_year_co2_median": "median of co2_emissions_g_km over model_year and vehicle_class",
+    "class_year_co2_p25": "lower quartile of co2_emissions_g_km over model_year and vehicle_class",
+    "co2_vs_class_year_median": "co2_emissions_g_km - class_year_co2_median",
+    "co2_gap_to_class_p25": "co2_emissions_g_km - class_year_co2_p25, at least 0",
+    "above_class_year_median": "1 where co2_emissions_g_km > class_year_co2_median",
+    "city_below_highway_flag": "1 where fuel_cons_city_l_100km < fuel_cons_hwy_l_100km",
+    "emission_band": "band of co2_emissions_g_km",
+    "model_split": "train, validation or test by model_year",
+}
 
 
-def data_dictionary(spark: SparkSession) -> DataFrame:
-    """Field, type, meaning and analytical role of every clean column, in table order."""
+def _role(name: str) -> str:
+    if name in ("vehicle_id", "source_row_number"):
+        return "identifier"
+    if name == "co2_emissions_g_km":
+        return "target"
+    if name in LEAKY_COLUMNS:
+        return "withheld from the model"
+    return "source" if name in COLUMN_MAP.values() else "derived"
+
+
+def data_dictionary(clean: DataFrame) -> DataFrame:
+    """Field, type, meaning and role of every column of a clean table, in table order."""
+    source = {field: header for header, field in COLUMN_MAP.items()}
     rows = [
-        (i, *line.split("|")) for i, line in enumerate(_DICTIONARY.strip().splitlines(), start=1)
+        (at, f.name, f.dataType.simpleString(), _DERIVED.get(f.name) or f"source column {source[f.name]}", _role(f.name))
+        for at, f in enumerate(clean.schema.fields, start=1)
     ]
-    return spark.createDataFrame(
-        rows, "position int, field string, data_type string, definition string, analytical_role string"
-    )
+    kind = "position int, field string, data_type string, definition string, analytical_role string"
+    return clean.sparkSession.createDataFrame(rows, kind)

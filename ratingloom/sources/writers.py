@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from ratingloom.operators.joins import measured
 from ratingloom.sources.readers import fingerprint, require_columns
 
-# an export up to this size is one ordered file; a larger one stays in parts
-SINGLE_FILE_ROWS = 200_000
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The frame with a row count that the write itself fills in."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
 def load_check(df: DataFrame, key: str, invalid: Column) -> DataFrame:
@@ -25,23 +26,26 @@ def load_table(
 ) -> DataFrame:
     """Replace a Parquet table and verify it: all rows arrived, keys are unique, no row is invalid."""
     source = require_columns(df, columns).select(*columns)
-    expected = source.count()
-    writer = source.write.mode("overwrite")
+    watched, seen = counted(source)
+    writer = watched.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     loaded = df.sparkSession.read.schema(source.schema).parquet(path)
+    expected = seen.get["rows"]
     found = load_check(loaded, key, invalid).first()
     if (found.loaded_rows, found.unique_keys, found.invalid_rows) != (expected, expected, 0):
         raise AssertionError(f"load of {expected} rows failed: {found.asDict()}")
     return loaded
 
 
-def export_csv(df: DataFrame, path: str) -> int:
-    """Write a CSV folder with a header, one file for a small result, and return its rows."""
-    kept, rows = measured(df)
-    out = kept.coalesce(1) if rows <= SINGLE_FILE_ROWS else kept
-    out.write.mode("overwrite").option("header", True).csv(path)
-    kept.unpersist()
-    return rows
+def export_csv(df: DataFrame, path: str, single_file: bool = True) -> int:
+    """Write a CSV folder with a header and return its rows.
+
+    ``single_file`` is the caller's statement that the result is a summary or a capped list, which one task writes in its
+    order; a table of detail rows stays in parts.
+    """
+    watched, seen = counted(df.coalesce(1) if single_file else df)
+    watched.write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["rows"]
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -55,15 +59,12 @@ def export_all(frames: dict[str, DataFrame], folder: str) -> dict[str, int]:
 
 
 def manifest(spark: SparkSession, folder: str, frames: dict[str, DataFrame], rows: dict[str, int]) -> DataFrame:
-    """Rows, columns, bytes and SHA-256 of every export; an export in parts hashes its part hashes."""
+    """Rows, columns, bytes and SHA-256 of every export; the hash is that of the ordered hashes of its part files."""
     parts = fingerprint(spark, folder).where(F.col("file").like("part-%"))
     name = F.element_at(F.split("path", "/"), -2)
-    hashes = F.sort_array(F.collect_list("sha256"))
     files = parts.groupBy(name.alias("file")).agg(
         F.sum("bytes").alias("bytes"),
-        F.when(F.count(F.lit(1)) == 1, F.max("sha256"))
-        .otherwise(F.sha2(F.array_join(hashes, ""), 256))
-        .alias("sha256"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256).alias("sha256"),
     )
     known = spark.createDataFrame(
         [(n, rows[n], len(df.columns)) for n, df in frames.items()], "file string, rows long, columns int"

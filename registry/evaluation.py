@@ -6,9 +6,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ratingloom.operators import metrics as M, models as ML
-from ratingloom.operators.joins import join_on_keys, known_size
+from ratingloom.operators.joins import join_on_keys, settled
 from ratingloom.operators.metrics import PREDICTION_COLUMNS
-from ratingloom.operators.ordering import head_by, row_position
+from ratingloom.operators.ordering import head_by, summary_position
 from ratingloom.plans import validation as V, views as W
 from ratingloom.session import scratch_path, stored
 from ratingloom.sources import writers as IO
@@ -214,7 +214,7 @@ def narrow_splits(spark, folder) -> ML.Splits:
 
 def validated(parts: ML.Splits) -> DataFrame:
     period = f"until {TRAIN_UNTIL}"
-    return known_size(
+    return settled(
         M.metrics_ledger(
             [_evaluated(name, parts.train, parts.validation, "validation", True, period) for name in CANDIDATES]
         )
@@ -319,15 +319,15 @@ def importance(spark, folder) -> DataFrame:
     base = rows.withColumn("__plain", plain)
     tables = []
     for name in ABLATED:
-        means = known_size(train.groupBy(name).agg(F.avg(y).alias("__known")))
+        means = train.groupBy(name).agg(F.avg(y).alias("__known"))
         scored = join_on_keys(base, means, [name], "inner")
         increase = F.avg(F.abs(y - F.col("__plain"))) - F.avg(F.abs(y - F.col("__known")))
         tables.append(scored.groupBy("model_split").agg(increase.alias("increase")).withColumn("feature", F.lit(name)))
     summary = M.stack(*tables).groupBy("feature").agg(
         F.avg("increase").alias("importance_mean_mae_increase"), F.stddev_pop("increase").alias("importance_std")
     )
-    named = known_size(summary.withColumn("model_name", F.lit("Feature Mean")))
-    return row_position(named, ["feature"], name="importance_id")
+    named = summary.withColumn("model_name", F.lit("Feature Mean"))
+    return summary_position(named, ["feature"], "importance_id")
 
 
 IMPORTANCE = (
@@ -366,15 +366,15 @@ def view_tables(spark, folder) -> W.Tables:
     """The stored tables of the views; ratings and predictions are written once, as a load would."""
     ratings = stored(R.numbered_fact(spark, folder), "ratings")
     scored = stored(R.predictions(ratings), "predictions")
-    errors = known_size(M.segment_errors(scored.where("data_split = 'test'")))
+    errors = settled(M.segment_errors(scored.where("data_split = 'test'")))
     return W.Tables(
         ratings=ratings,
         fuels=fuel_type_lookup(spark),
         transmissions=transmission_family_lookup(spark),
         predictions=scored.select(*PREDICTION_COLUMNS),
-        metrics=known_size(ledger(spark, folder)),
-        importance=known_size(importance(spark, folder)),
-        segment_errors=row_position(errors, ["segment_type", "segment_value"], name="segment_error_id"),
+        metrics=settled(ledger(spark, folder)),
+        importance=settled(importance(spark, folder)),
+        segment_errors=summary_position(errors, ["segment_type", "segment_value"], "segment_error_id"),
         recent_since=SINCE,
     )
 
@@ -492,7 +492,7 @@ REQUIRED = ["vehicle_id", "model_year", "make", "vehicle_class", "engine_size_l"
 def validation_report(spark, folder):
     ratings = stored_rows(spark, folder)
     predicted = stored(R.prediction_table(ratings), "predictions")
-    found = known_size(ledger(spark, folder))
+    found = settled(ledger(spark, folder))
     headline = W.kpis(R.with_peers(ratings), found, predicted)
     return V.validation_report(
         V.table_checks(R.raw_ratings(spark, folder), ratings, predicted, REQUIRED, R.FIRST_YEAR, R.LAST_YEAR),

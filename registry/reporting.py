@@ -238,7 +238,7 @@ RANKED = f"""ranked AS (SELECT *, rank() OVER (PARTITION BY model_year, vehicle_
     (*PEERED, RANKED),
 )
 def opportunities(spark, folder):
-    return X.opportunities(R.fact(spark, folder), SINCE)
+    return X.ranked_opportunities(R.fact(spark, folder), SINCE)
 
 
 @query(
@@ -259,7 +259,7 @@ def top_opportunities(spark, folder):
     (*PEERED, RANKED),
 )
 def export_opportunities(spark, folder):
-    return X.export_opportunities(X.opportunities(R.fact(spark, folder), SINCE), tie=TIE)
+    return X.export_opportunities(X.ranked_opportunities(R.fact(spark, folder), SINCE), tie=TIE)
 
 
 @query(

@@ -14,13 +14,12 @@ def scored(spark, rows):
     return spark.createDataFrame(rows, "k string, actual_co2_g_km double, predicted_co2_g_km double")
 
 
-@pytest.mark.parametrize("bound", [1_000, 1])
-def test_metrics_agree_with_arrays(spark, bound):
+def test_metrics_agree_with_arrays(spark):
     rng = np.random.default_rng(3)
     y = rng.uniform(100, 400, 60)
     guess = y + rng.normal(0, 20, 60)
     df = scored(spark, [("all", float(a), float(b)) for a, b in zip(y, guess)])
-    found = M.regression_metrics(df, keys=["k"], group_rows=bound).first()
+    found = M.regression_metrics(df, keys=["k"]).first()
     error = guess - y
     wanted = {
         "mae": np.abs(error).mean(),
@@ -32,7 +31,7 @@ def test_metrics_agree_with_arrays(spark, bound):
     }
     for name, value in wanted.items():
         assert found[name] == pytest.approx(value), name
-    alone = M.regression_metrics(df, group_rows=bound).first()
+    alone = M.regression_metrics(df).first()
     assert alone.mae == pytest.approx(wanted["mae"]) and alone.vehicle_records == 60
 
 
@@ -52,12 +51,11 @@ def test_error_threshold_comes_from_one_split_and_flags_all(spark):
     assert sorted((r.data_split, r.absolute_error_g_km) for r in flagged) == [("test", 10.0), ("test", 11.0), ("train", 10.0)]
 
 
-@pytest.mark.parametrize("bound", [1_000, 1])
-def test_largest_errors_include_ties(spark, bound):
+def test_largest_errors_include_ties(spark):
     df = spark.createDataFrame([(i, float(min(i, 9))) for i in range(1, 12)], "id int, absolute_error_g_km double")
-    found = M.worst_share(df, group_rows=bound)
+    found = M.worst_share(df)
     assert sorted((r.id, r.error_percentile) for r in found.collect()) == [(9, 1.0), (10, 1.0), (11, 1.0)]
-    shared = M.worst_share(df, cut=0.70, group_rows=bound).where("id = 8").first()
+    shared = M.worst_share(df, cut=0.70).where("id = 8").first()
     assert shared.error_percentile == pytest.approx(8 / 11)
 
 
@@ -162,9 +160,8 @@ def test_evaluation_selects_on_validation_and_tests_once(spark, cars):
     assert found.parameters["max_depth"] == 5
 
 
-@pytest.mark.parametrize("bound", [None, 1])
-def test_partners_are_a_permutation_per_repeat(cars, bound):
-    found = ML.shuffled_partners(cars, "vehicle_id", ["vehicle_id", "make"], 2, group_rows=bound).collect()
+def test_partners_are_a_permutation_per_repeat(cars):
+    found = ML.shuffled_partners(cars, "vehicle_id", ["vehicle_id", "make"], 2).collect()
     assert len(found) == 480
     orders = {}
     for r in found:

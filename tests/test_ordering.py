@@ -1,4 +1,4 @@
-"""Positions, ranks, tiles and quantiles; every operator on both its small and its spread-out path."""
+"""Positions, ranks, tiles and quantiles over skewed groups."""
 
 import random
 
@@ -8,8 +8,6 @@ from pyspark.sql import Window, functions as F
 
 from ratingloom.operators import ordering as O, quantiles as Q
 
-PATHS = [10_000, 1]  # bound on the group size: window path, range-partitioned path
-
 
 @pytest.fixture(scope="module")
 def skewed(spark):
@@ -23,70 +21,61 @@ def pairs(df, *names):
     return sorted((tuple(r) for r in df.select(*names).collect()), key=str)
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_row_position(skewed, bound):
-    found = O.row_position(skewed, ["-v", "id"], ["k"], group_rows=bound)
+def test_row_position(skewed):
+    found = O.row_position(skewed, ["-v", "id"], ["k"])
     window = Window.partitionBy("k").orderBy(F.desc("v"), "id")
     wanted = skewed.withColumn("position", F.row_number().over(window))
     assert pairs(found, "id", "position") == pairs(wanted, "id", "position")
     assert set(found.columns) == {*skewed.columns, "position"}
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_global_position_with_start(skewed, bound):
-    found = O.row_position(skewed, ["id"], start=2, group_rows=bound)
+def test_global_position_with_start(skewed):
+    found = O.row_position(skewed, ["id"], start=2)
     assert pairs(found, "id", "position") == sorted([(i, i + 2) for i in range(400)], key=str)
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_rank_leaves_gaps(skewed, bound):
-    found = O.with_rank(skewed, ["-v"], ["k"], group_rows=bound)
+def test_rank_leaves_gaps(skewed):
+    found = O.with_rank(skewed, ["-v"], ["k"])
     wanted = skewed.withColumn("rank", F.rank().over(Window.partitionBy("k").orderBy(F.desc("v"))))
     assert pairs(found, "id", "rank") == pairs(wanted, "id", "rank")
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_global_rank(skewed, bound):
-    found = O.with_rank(skewed, ["v"], group_rows=bound)
+def test_global_rank(skewed):
+    found = O.with_rank(skewed, ["v"])
     wanted = skewed.withColumn("rank", F.rank().over(Window.orderBy("v")))
     assert pairs(found, "id", "rank") == pairs(wanted, "id", "rank")
 
 
-@pytest.mark.parametrize("bound", PATHS)
 @pytest.mark.parametrize("tiles", [4, 7])
-def test_tiles(skewed, bound, tiles):
-    found = O.with_tile(skewed, ["-v", "id"], tiles, ["k"], group_rows=bound)
+def test_tiles(skewed, tiles):
+    found = O.with_tile(skewed, ["-v", "id"], tiles, ["k"])
     window = Window.partitionBy("k").orderBy(F.desc("v"), "id")
     assert pairs(found, "id", "tile") == pairs(skewed.withColumn("tile", F.ntile(tiles).over(window)), "id", "tile")
 
 
 def test_tiles_of_a_group_smaller_than_their_number(spark):
     df = spark.range(5)
-    for bound in PATHS:
-        found = O.with_tile(df, ["id"], 4, group_rows=bound)
-        assert [r.tile for r in found.orderBy("id").collect()] == [1, 1, 2, 3, 4]
-        few = O.with_tile(df.where("id < 2"), ["id"], 4, group_rows=bound)
-        assert [r.tile for r in few.orderBy("id").collect()] == [1, 2]
+    found = O.with_tile(df, ["id"], 4)
+    assert [r.tile for r in found.orderBy("id").collect()] == [1, 1, 2, 3, 4]
+    few = O.with_tile(df.where("id < 2"), ["id"], 4)
+    assert [r.tile for r in few.orderBy("id").collect()] == [1, 2]
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_cume_dist_includes_ties(spark, bound):
+def test_cume_dist_includes_ties(spark):
     df = spark.createDataFrame([(v,) for v in [1, 1, 2, 3, 3, 3, 4, 4, 4, 4]], "v int")
-    shares = O.with_cume_dist(Q.value_counts(df, "v"), "v", Q.ROWS, group_rows=bound)
+    shares = O.with_cume_dist(Q.value_counts(df, "v"), "v", Q.ROWS)
     assert {r.v: r.cume_dist for r in shares.collect()} == {1: 0.2, 2: 0.3, 3: 0.6, 4: 1.0}
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_running_totals(spark, bound):
+def test_running_totals(spark):
     df = spark.createDataFrame([("a", i, i) for i in range(1, 40)] + [("b", 1, 5)], "k string, o int, w int")
-    found = O.running_totals(df, ["o"], "w", ["k"], group_rows=bound).where("k = 'a'").orderBy("o")
+    found = O.running_totals(df, ["o"], "w", ["k"]).where("k = 'a'").orderBy("o")
     assert [r.running for r in found.collect()] == list(np.cumsum(range(1, 40)))
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_quantiles_interpolate(skewed, bound):
+def test_quantiles_interpolate(skewed):
     probs = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p90": 0.9, "top": 1.0}
-    found = {r.k: r for r in Q.grouped_quantiles(skewed, "v", probs, ["k"], bound).collect()}
+    found = {r.k: r for r in Q.grouped_quantiles(skewed, "v", probs, ["k"]).collect()}
     data = {}
     for row in skewed.collect():
         data.setdefault(row.k, []).append(row.v)
@@ -96,29 +85,52 @@ def test_quantiles_interpolate(skewed, bound):
             assert found[key][name] == pytest.approx(np.quantile(items, p)), (key, name)
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_quantiles_of_small_groups(spark, bound):
+def test_quantiles_of_small_groups(spark):
     df = spark.createDataFrame(
         [("one", 5.0), ("even", 1.0), ("even", 2.0), ("same", 3.0), ("same", 3.0), ("nan", float("nan")), ("nan", 8.0), ("null", None)],
         "k string, v double",
     )
-    found = {r.k: (r.m, r.q) for r in Q.grouped_quantiles(df, "v", {"m": 0.5, "q": 0.25}, ["k"], bound).collect()}
+    found = {r.k: (r.m, r.q) for r in Q.grouped_quantiles(df, "v", {"m": 0.5, "q": 0.25}, ["k"]).collect()}
     assert found == {"one": (5.0, 5.0), "even": (1.5, 1.25), "same": (3.0, 3.0), "nan": (8.0, 8.0)}
 
 
-@pytest.mark.parametrize("bound", PATHS)
-def test_global_quantile(skewed, bound):
-    found = Q.grouped_quantiles(skewed, "v", {"p": 0.9}, group_rows=bound).first()
+def test_global_quantile(skewed):
+    found = Q.grouped_quantiles(skewed, "v", {"p": 0.9}).first()
     assert found.p == pytest.approx(np.quantile([r.v for r in skewed.collect()], 0.9))
 
 
-def test_dense_key_and_natural_position(spark):
-    df = spark.createDataFrame([(i * 3,) for i in range(50)], "n long").repartition(5)
-    keyed = O.dense_key(df, "n", "key", chunk=7)
-    assert pairs(keyed, "n", "key") == sorted([(i * 3, i + 1) for i in range(50)], key=str)
-    listed = spark.range(0, 40, numPartitions=6)
-    numbered = O.natural_position(listed, "line", start=2)
-    assert pairs(numbered, "id", "line") == sorted([(i, i + 2) for i in range(40)], key=str)
+def test_dense_key_of_sparse_and_dense_ids(spark):
+    for ids in (range(50), [i * 7_919_000_003 for i in range(50)]):
+        df = spark.createDataFrame([(i,) for i in ids], "n long").repartition(5)
+        keyed = O.dense_key(df, "n", "key")
+        assert pairs(keyed, "n", "key") == sorted([(n, at) for at, n in enumerate(ids, start=1)], key=str)
+
+
+@pytest.mark.parametrize("split", ["64", "100000"])
+def test_natural_position_follows_path_and_line(spark, tmp_path, split):
+    """A small first file and a large second one; Spark reads the large one first."""
+    (tmp_path / "a_small.csv").write_text("n\n0\n1\n")
+    (tmp_path / "b_big.csv").write_text("n\n" + "".join(f"{i}\n" for i in range(2, 200)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        numbered = O.natural_position(spark.read.schema("n long").csv(str(tmp_path), header=True), "line", start=2)
+        assert pairs(numbered, "n", "line") == sorted([(i, i + 2) for i in range(200)], key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_no_plan_sorts_detail_rows_in_one_task(skewed):
+    for df in (
+        O.row_position(skewed, ["id"]),
+        O.with_rank(skewed, ["v"]),
+        O.with_tile(skewed, ["id"], 4, ["k"]),
+        Q.grouped_quantiles(skewed, "v", {"p": 0.9}, ["k"]),
+        O.dense_key(skewed, "id", "key"),
+    ):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        for window in [line for line in plan.splitlines() if "Window" in line]:
+            assert "__part" in window, window
 
 
 @pytest.mark.parametrize("parts", [1, 7])

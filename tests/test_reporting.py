@@ -73,14 +73,6 @@ def test_peers(fact):
     assert float(rows[1].co2_vs_class_year_median) == -1.0
 
 
-def test_peers_spread_over_tasks_agree(fact):
-    plain = fact.select("vehicle_id", "model_year", "vehicle_class", "co2_emissions_g_km")
-    keys = ["model_year", "vehicle_class"]
-    spread = B.peer_benchmark(plain, keys, "co2_emissions_g_km", group_rows=1)
-    wanted = fact.select(*spread.columns)
-    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, wanted.collect()))
-
-
 def test_rows_without_a_peer_group(spark):
     df = spark.createDataFrame([(None, 5), ("a", 7)], "k string, v int")
     found = {r.k: r for r in B.peer_benchmark(df, ["k"], "v").collect()}
@@ -185,10 +177,9 @@ def test_one_row_attachment(spark):
 
 
 def test_opportunities(fact):
-    ranked = {r.vehicle_id: r.within_class_opportunity_rank for r in X.opportunities(fact).collect()}
+    ranked = {r.vehicle_id: r.within_class_opportunity_rank for r in X.ranked_opportunities(fact).collect()}
     assert ranked == {9: 1, 7: 2, 8: 2}
-    spread = {r.vehicle_id: r.within_class_opportunity_rank for r in X.opportunities(fact, group_rows=1).collect()}
-    assert spread == ranked
+    assert {r.vehicle_id for r in X.opportunities(fact).collect()} == set(ranked)
     assert [r.vehicle_id for r in X.top_opportunities(fact, n=3).collect()] == [9, 7, 8]
     assert [r.vehicle_id for r in X.top_opportunities(fact).collect()] == [9, 7, 8, 6]
     assert [r.vehicle_id for r in X.opportunity_quartile(fact).collect()] == [9]
