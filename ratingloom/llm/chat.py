@@ -61,13 +61,14 @@ def unescape(text: Column) -> Column:
 
 
 def _accepted(roles: Column, template: ChatTemplate) -> Column:
-    """(state, bad): the machine after all roles; ``bad`` is the position of the first role it refused."""
+    """(state, bad): the machine after all roles; ``bad`` is the position of the first role it refused, from where on the
+    state is empty."""
 
     def step(state: Column, turn: Column) -> Column:
-        after = F.lit(None).cast("string")
+        after = F.lit("")
         for (at, role), to in template.transitions.items():
             after = F.when((state["state"] == at) & (turn == role), F.lit(to)).otherwise(after)
-        bad = F.when(state["bad"] >= 0, state["bad"]).when(after.isNull(), state["seen"]).otherwise(F.lit(-1))
+        bad = F.when(state["bad"] >= 0, state["bad"]).when(after == "", state["seen"]).otherwise(F.lit(-1))
         return F.struct(after.alias("state"), bad.alias("bad"), (state["seen"] + 1).alias("seen"))
 
     start = F.struct(F.lit(template.start).alias("state"), F.lit(-1).alias("bad"), F.lit(0).alias("seen"))
