@@ -17,6 +17,7 @@ from ratingloom.operators.ordering import order_columns, top_n, with_cume_dist,
 from ratingloom.operators.quantiles import ROWS, grouped_quantiles, value_counts
 from ratingloom.sources import schema as S
 
+# fixed values: names of the metrics
 METRICS = ["mae", "rmse", "mape", "r_squared", "mean_error_pred_minus_actual", "p90_absolute_error"]
 ACTUAL = "actual_co2_g_km"
 PREDICTED = "predicted_co2_g_km"
@@ -111,6 +112,7 @@ def worst_errors(predictions: DataFrame, detail: DataFrame, cut: float = 0.90, s
     return join_eval(errors, facts, "vehicle_id").orderBy(*order_columns([f"-{ABSOLUTE}", "vehicle_id"]))
 
 
+# fixed values: labels of the segments
 SEGMENTS = {
     "Model Year": "model_year",
     "Vehicle Class": "vehicle_class",
@@ -212,6 +214,7 @@ def score_rows(
     return high_error_flag(scored_errors(df, model_name, raw_prediction, target, split))
 
 
+# fixed values: columns of the prediction table
 PREDICTION_COLUMNS = [
     "vehicle_id",
     "data_split",

@@ -45,6 +45,7 @@ REPRODUCTION_TOLERANCE = 0.00051
 # Spark's trees stop at this depth; it stands for "no limit"
 DEEPEST = 30
 RAW_PREDICTION = "prediction"
+HELD = "__held"
 
 
 def assert_no_leakage(features: list[str], excluded: list[str] = S.LEAKY_COLUMNS) -> list[str]:
@@ -173,11 +174,17 @@ def boosted_trees(
     leaf_rows: int = BOOSTING["leaf_rows"],
     target: str = TARGET,
     seed: int = SEED,
+    held: str | None = HELD,
+    tolerance: float = 1e-4,
 ) -> GBTRegressor:
-    """Gradient boosting; trees grow level by level, a leaf penalty is not available."""
+    """Gradient boosting; trees grow level by level, a leaf penalty is not available.
+
+    ``held`` names a column that is true for rows kept back from the trees; rounds end once they stop improving on them.
+    """
     return GBTRegressor(
-        labelCol=target, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf_rows, seed=seed
-    )
+        labelCol=target, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf_rows, seed=seed,
+        validationIndicatorCol=held, validationTol=tolerance,
+    )
 
 
 def forest(
@@ -201,7 +208,10 @@ def forest(
 def fit(train: DataFrame, estimator, numeric: list[str], categorical: list[str], target: str = TARGET) -> PipelineModel:
     """Preprocessor and estimator fitted on the same rows, as one persistable model."""
     labelled = train.withColumn(target, F.col(target).cast("double"))
-    return Pipeline(stages=[*build_preprocessor(labelled, numeric, categorical), estimator]).fit(labelled)
+    # a tenth, drawn by a digest of the features, is what boosting checks its rounds against
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), *numeric, *categorical), F.lit(10)) == 0
+    marked = labelled.withColumn(HELD, drawn)
+    return Pipeline(stages=[*build_preprocessor(marked, numeric, categorical), estimator]).fit(marked)
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = RAW_PREDICTION) -> DataFrame:

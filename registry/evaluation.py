@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ratingloom.operators import metrics as M, models as ML
 from ratingloom.operators.joins import join_on_keys, settled
 from ratingloom.operators.metrics import PREDICTION_COLUMNS
-from ratingloom.operators.ordering import head_by, summary_position
+from ratingloom.operators.ordering import head_by, sample_cap, summary_position
 from ratingloom.plans import validation as V, views as W
 from ratingloom.session import scratch_path, stored
 from ratingloom.sources import writers as IO
@@ -509,16 +509,31 @@ def export_manifest(spark, folder):
     return IO.manifest(spark, target, frames, IO.export_all(frames, target))
 
 
-# --- fitted models; forests and boosting are kept small here, the library defaults are not ------------
+# --- fitted models -----------------------------------------------------------------------------------
 
 NUMERIC, CATEGORICAL = ML.NUMERIC_FEATURES, ML.CATEGORICAL_FEATURES
-TREES = 8
-GRID = [
-    {"max_depth": 3, "min_samples_leaf": 1, "max_features": 0.7},
-    {"max_depth": 5, "min_samples_leaf": 1, "max_features": 0.7},
-    {"max_depth": 5, "min_samples_leaf": 1, "max_features": 1.0},
-]
-ROUNDS = {"rounds": 5, "step": 0.05, "depth": 4, "leaf_rows": 20}
+# a fit learns from at most so many labelled rows, drawn by a digest of the key; scores and metrics use all rows
+FIT_ROWS = 1_000
+
+
+class FitSplits(ML.Splits):
+    """Splits whose labelled sides are bounded for a fit."""
+
+    @property
+    def train(self) -> DataFrame:
+        return sample_cap(super().train, FIT_ROWS, ML.SEED, _key(self.df))
+
+    @property
+    def development(self) -> DataFrame:
+        return sample_cap(super().development, FIT_ROWS, ML.SEED, _key(self.df))
+
+
+def _key(df: DataFrame) -> list[str]:
+    return ["vehicle_id"] if "vehicle_id" in df.columns else [c for c in df.columns if c != TARGET]
+
+
+def fit_splits(spark, folder) -> FitSplits:
+    return FitSplits(model_splits(spark, folder).df, "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
 
 
 @query(
@@ -539,7 +554,7 @@ def preprocess(spark, folder):
 
 
 def _validated(spark, folder, build, name: str) -> DataFrame:
-    parts = model_splits(spark, folder)
+    parts = fit_splits(spark, folder)
     model = ML.fit(parts.train, build(parts.train), NUMERIC, CATEGORICAL)
     scored = ML.predict(model, parts.validation)
     row = M.metric_row(scored, name, EARLY, "validation", True, f"until {TRAIN_UNTIL}", TARGET, "prediction")
@@ -553,7 +568,7 @@ def ridge(spark, folder):
 
 @query("gbt", LEDGER_SHAPE)
 def gbt(spark, folder):
-    return _validated(spark, folder, lambda train: ML.boosted_trees(**ROUNDS), "Gradient Boosted Trees")
+    return _validated(spark, folder, lambda train: ML.boosted_trees(), "Gradient Boosted Trees")
 
 
 @query(
@@ -562,27 +577,25 @@ def gbt(spark, folder):
     "selected_configuration:l",
 )
 def rf_tuning(spark, folder):
-    parts = model_splits(spark, folder)
-    return ML.tune_forest(parts.train, parts.validation, NUMERIC, CATEGORICAL, GRID, TREES)
+    parts = fit_splits(spark, folder)
+    return ML.tune_forest(parts.train, parts.validation, NUMERIC, CATEGORICAL)
 
 
 @query("selected_model", LEDGER_SHAPE)
 def selected_model(spark, folder):
-    found = ML.evaluate(model_splits(spark, folder), grid=GRID, trees=TREES, boosting=ROUNDS)
-    return found.metrics
+    return ML.evaluate(fit_splits(spark, folder)).metrics
 
 
 @query("leakage_diagnostic", LEDGER_SHAPE)
 def leakage_diagnostic(spark, folder):
-    shallow = {"max_depth": 5, "min_samples_leaf": 1, "max_features": 0.9}
     rich = NUMERIC + ML.MEASURED_FEATURES
-    row = ML.leaky_diagnostic(model_splits(spark, folder), rich, CATEGORICAL, TREES, parameters=shallow)
+    row = ML.leaky_diagnostic(fit_splits(spark, folder), rich, CATEGORICAL)
     return row.withColumn("metric_id", F.lit(1))
 
 
-def _small_forest(spark, folder, rows: DataFrame):
-    parts = ML.Splits(rows, "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
-    return parts, ML.fit(parts.development, ML.forest(max_depth=5, trees=TREES), NUMERIC, CATEGORICAL)
+def _forest(rows: DataFrame):
+    parts = FitSplits(rows, "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
+    return parts, ML.fit(parts.development, ML.forest(**ML.FOREST_GRID[0]), NUMERIC, CATEGORICAL)
 
 
 @query(
@@ -591,16 +604,14 @@ def _small_forest(spark, folder, rows: DataFrame):
 )
 def permutation_importance(spark, folder):
     rows = stored_rows(spark, folder, ["vehicle_id", TARGET, *NUMERIC, *CATEGORICAL])
-    parts, model = _small_forest(spark, folder, rows)
-    return ML.permutation_importance(
-        model, parts.test, NUMERIC + CATEGORICAL, "vehicle_id", "Random Forest", repeats=2
-    )
+    parts, model = _forest(rows)
+    return ML.permutation_importance(model, parts.test, NUMERIC + CATEGORICAL, "vehicle_id", "Random Forest")
 
 
 @query("prediction_repro", "rows_compared:l max_difference:d reproduced:l")
 def prediction_repro(spark, folder):
     rows = stored_rows(spark, folder, ["vehicle_id", TARGET, *NUMERIC, *CATEGORICAL])
-    _, model = _small_forest(spark, folder, rows)
+    _, model = _forest(rows)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
     kept = ML.predict(model, rows).select("vehicle_id", F.round("prediction", 3).alias("predicted_co2_g_km"))
