@@ -513,7 +513,7 @@ def export_manifest(spark, folder):
 
 NUMERIC, CATEGORICAL = ML.NUMERIC_FEATURES, ML.CATEGORICAL_FEATURES
 # a fit learns from at most so many labelled rows, drawn by a digest of the key; scores and metrics use all rows
-FIT_ROWS = 1_000
+FIT_ROWS = 300
 
 
 class FitSplits(ML.Splits):
