@@ -3,9 +3,10 @@
 A line goes down a tree of fixed depth: its number of tokens, then its leading tokens, tokens with a digit being a
 variable field. Under the leaf, lines are one template if they agree in all tokens, or in all but one of ``PARTS`` equal
 stretches of the tail, which then is a variable field as well (lines of ``LONG`` tokens and more). A template recurs if it
-stands in several documents (and, for lines under ``LONG`` tokens, ``min_times_short`` times in all). Of a recurring
-template the lines of the document with the smallest id stay and those of the others are dropped, so every dropped line
-has one of its kind in an earlier document.
+stands in two distinct documents (``min_times_short`` distinct ones for lines under ``LONG`` tokens). Of a recurring
+template the first line in the document with the smallest id stays and all others are dropped, those of the same document
+too, so every dropped line has an earlier one of its kind. Without ``by_document`` the rule is the looser one of the
+registered SQL: ``min_times_short`` occurrences in at least two documents, and the first document keeps all its lines.
 
 Templates travel as 64-bit hashes of token count and tokens; only the final join moves texts. Nulls and odd rows: null and
 empty texts have no lines and come back as they are; lines under ``min_tokens`` tokens are never judged; a line repeated
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ratingloom.llm.store import cut
+
 DEPTH = 3
 PARTS = 4
 LONG = 8
@@ -49,7 +52,9 @@ def template_keys(tokens: Column, depth: int, parts: int, long: int, least: int)
     return F.when(n >= long, F.array(whole, *[open_at(part) for part in range(parts)])).when(n >= least, F.array(whole))
 
 
-def dropped_lines(docs: DataFrame, min_times_short: int, min_tokens: int, depth: int, parts: int, long: int) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, min_times_short: int, min_tokens: int, depth: int, parts: int, long: int, by_document: bool
+) -> DataFrame:
     """(row, places): positions of the lines to drop, per document."""
     row = F.xxhash64("doc_id", "text")
     lines = docs.select(row.alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
@@ -64,9 +69,19 @@ def dropped_lines(docs: DataFrame, min_times_short: int, min_tokens: int, depth:
     counted = keyed.groupBy("key").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("times"), F.max("long").alias("long")
     )
+    # by document, this is only a necessary condition, which sorts out most lines before documents are counted
     recurs = (F.col("first") < F.col("last")) & (F.col("long") | (F.col("times") >= min_times_short))
-    met = keyed.select("key", "row", "doc", "place").join(counted.where(recurs).select("key", "first"), "key")
-    return met.where("doc <> first").groupBy("row").agg(F.collect_set("place").alias("places"))
+    met = keyed.select("key", "row", "doc", "place", "long").join(counted.where(recurs).select("key", "first"), "key")
+    if not by_document:
+        return met.where("doc <> first").groupBy("row").agg(F.collect_set("place").alias("places"))
+    met = cut(met.drop("first"))
+    by_doc = met.groupBy("key", "doc").agg(F.min(F.struct("row", "place")).alias("at"), F.max("long").alias("long"))
+    needed = F.when(F.max("long"), F.lit(2)).otherwise(F.lit(min_times_short))
+    templates = by_doc.groupBy("key").agg(
+        (F.count(F.lit(1)) >= needed).alias("recurs"), F.min(F.struct("doc", "at")).getField("at").alias("at")
+    )
+    later = met.join(templates.where("recurs").select("key", "at"), "key").where(F.struct("row", "place") != F.col("at"))
+    return later.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
 def drop_recurring_lines(
@@ -76,12 +91,13 @@ def drop_recurring_lines(
     depth: int = DEPTH,
     parts: int = PARTS,
     long: int = LONG,
+    by_document: bool = True,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """``docs`` with the kept lines as text and the columns ``n_lines`` and ``n_dropped``, in place of any of that name."""
     packed = docs.select(F.struct("*").alias("__all"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    found = dropped_lines(packed.select("doc_id", "text"), min_times_short, min_tokens, depth, parts, long)
+    found = dropped_lines(packed.select("doc_id", "text"), min_times_short, min_tokens, depth, parts, long, by_document)
     marked = packed.withColumn("__row", F.xxhash64("doc_id", "text"))
     joined = marked.join(found, F.col("__row") == F.col("row"), "left")
     lines = F.split("text", "\n")

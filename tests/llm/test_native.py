@@ -163,6 +163,16 @@ def test_short_lines_need_more_occurrences(docs_of):
     assert found[0].startswith("All") and all(found[i] == "body\nDie." for i in range(1, 6))
 
 
+def test_short_lines_are_counted_by_document(docs_of):
+    line = "All rights reserved."
+    few = docs_of((1, "\n".join([line] * 4 + ["own"])), (2, f"{line}\nbody"))
+    assert kept_lines(few)[2] == f"{line}\nbody"
+    hot = docs_of((1, "\n".join(["own"] + [line] * 50)), *[(i, f"{line}\nbody") for i in range(2, 6)])
+    assert kept_lines(hot) == {1: f"own\n{line}", **{i: "body" for i in range(2, 6)}}
+    long = "a line of nine plain words that repeats itself often"
+    assert kept_lines(docs_of((1, f"{long}\nx\n{long}"), (2, long))) == {1: f"{long}\nx", 2: ""}
+
+
 def test_lines_of_odd_rows(edge_docs, docs_of):
     out = line_templates.drop_recurring_lines(edge_docs)
     assert sorted(map(str, kept_lines(edge_docs).items())) == sorted(map(str, {r.doc_id: r.text for r in edge_docs.collect()}.items()))
