@@ -7,9 +7,8 @@ word. A sentence is a bag of strings and is as toxic as its most toxic one; a do
 
 Training is multiple-instance: sentences inherit the label of their document, a toxic document has one witness string at
 least and a clean one has none. Landmarks are witnesses and frequent clean strings; the kernel on them gives the feature
-map, a squared-hinge machine separates witnesses from clean strings, and witnesses are chosen again by its margins. A
-string that shares less than ``NEAR`` with every toxic landmark, by an upper bound, has the bias as its margin. A logistic
-curve on the largest margin gives the score.
+map, a squared-hinge machine separates witnesses from clean strings, and witnesses are chosen again by its margins. Every
+string meets all landmarks, and a logistic curve on the largest margin gives the score.
 
 At most ``positives`` and ``negatives`` labelled documents (those of smallest id hash) are learned from; every text is
 scored whole. Nulls and odd rows: null and empty texts have no strings and get the score of the lowest margin; documents
@@ -31,7 +30,7 @@ from ratingloom.llm.store import cut, on_workers
 POSITIVES = 2_000
 NEGATIVES = 4_000
 CANDIDATES = 4_000
-LANDMARKS = 128
+LANDMARKS = 192
 # a witness is at least so many times as frequent among toxic documents
 RARER = 10.0
 # and in at least this share of them
@@ -39,7 +38,6 @@ SHARE = 0.005
 DECAY = 0.6
 SPAN = 7
 SHARP = 5.0
-NEAR = 0.5
 WINDOW = 24
 THRESHOLD = 0.7
 
@@ -102,11 +100,10 @@ class LandmarkKernel:
     """Similarity of strings with fixed landmarks: exp(SHARP * (k - 1)) of their scaled subsequence kernel k.
 
     Only subsequences that a landmark has are kept, each with its weight in every landmark, so the table is bounded by the
-    number of landmarks and a string costs what it has in common with them. The first ``toxic`` landmarks also make a
-    narrow table of the largest weight in groups of them: its sums bound k from above and sort out most strings.
+    number of landmarks and a string costs what it has in common with them.
     """
 
-    def __init__(self, codes: np.ndarray, toxic: int = 0, group: int = 8):
+    def __init__(self, codes: np.ndarray):
         rows, numbers, weights = [], [], []
         scale = _norms(codes)
         for number, exists, weight in _places(codes):
@@ -120,10 +117,6 @@ class LandmarkKernel:
         self.index[found] = np.arange(1, len(found) + 1)
         self.weights = np.zeros((len(found) + 1, len(codes)), np.float32)
         np.add.at(self.weights, (at + 1, np.concatenate(rows)), np.concatenate(weights))
-        # strings of one stem stand side by side when sorted, which keeps the bounds tight
-        order = np.lexsort(codes[:toxic].T[::-1]) if toxic else np.empty(0, int)
-        groups = [self.weights[:, order[i : i + group]].max(1) for i in range(0, toxic, group)]
-        self.bounds = np.stack(groups, axis=1) if groups else np.zeros((len(self.weights), 0), np.float32)
 
     def _hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """String, table row and weight of every subsequence shared with a landmark, by string."""
@@ -139,26 +132,17 @@ class LandmarkKernel:
         order = np.argsort(row, kind="stable")
         return row[order], np.concatenate(places)[order], np.concatenate(weights)[order]
 
-    @staticmethod
-    def _summed(table: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-        row, place, weight = hits
-        k = np.zeros((n, table.shape[1]), np.float32)
-        for at in range(0, len(row), 50_000):
-            part = slice(at, at + 50_000)
-            starts = np.flatnonzero(np.diff(row[part], prepend=-1))
-            k[row[part][starts]] += np.add.reduceat(table[place[part]] * weight[part, None], starts)
-        return k
-
     def of(self, codes: np.ndarray) -> np.ndarray:
-        return np.exp(SHARP * (np.minimum(self._summed(self.weights, self._hits(codes), len(codes)), 1) - 1))
-
-    def of_near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which strings may share ``NEAR`` or more with a toxic landmark, and the similarities of those."""
         row, place, weight = self._hits(codes)
-        near = self._summed(self.bounds, (row, place, weight), len(codes)).max(1, initial=0) >= NEAR
-        held, number = near[row], np.cumsum(near) - 1
-        k = self._summed(self.weights, (number[row[held]], place[held], weight[held]), int(near.sum()))
-        return near, np.exp(SHARP * (np.minimum(k, 1) - 1))
+        k = np.zeros((len(codes), self.weights.shape[1]), np.float32)
+        # strings as dense rows over the table, about four million cells at a time
+        step = max(1, 4_000_000 // len(self.weights))
+        for at in range(0, len(codes), step):
+            part = slice(*np.searchsorted(row, (at, at + step)))
+            dense = np.zeros((min(step, len(codes) - at), len(self.weights)), np.float32)
+            np.add.at(dense.reshape(-1), (row[part] - at) * len(self.weights) + place[part], weight[part])
+            k[at : at + step] = dense @ self.weights
+        return np.exp(SHARP * (np.minimum(k, 1) - 1))
 
 
 # --- the machine -------------------------------------------------------------------------------------
@@ -177,10 +161,8 @@ class Machine:
             return [self.bias] * len(raw)
         parts = [_read(r) for r in raw]
         flat = [w for p in parts for w in p]
-        values = np.full(len(flat), self.bias)
-        for at in range(0, len(flat), 4096):
-            near, similar = self.kernel.of_near(letter_codes(flat[at : at + 4096]))
-            values[at + np.flatnonzero(near)] += similar @ self.coefficients
+        blocks = (flat[at : at + 4096] for at in range(0, len(flat), 4096))
+        values = np.concatenate([self.kernel.of(letter_codes(block)) @ self.coefficients for block in blocks]) + self.bias
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
         return np.maximum.reduceat(values, starts).tolist()
 
@@ -280,10 +262,7 @@ def fit_machine(bags: list[list[str]], evidence: dict[str, float], clean: list[s
     marked = [np.array([number[w] for w in bag]) for bag in bags if bag]
     of_toxic = spread_out(pool_codes[np.argsort(-prior, kind="stable")], landmarks // 2)
     marks = np.vstack([of_toxic, spread_out(clean_codes, landmarks - len(of_toxic))])
-    kernel = LandmarkKernel(marks, len(of_toxic))
-    # the machine only ever judges strings near a toxic landmark
-    near = kernel.of_near(clean_codes)[0]
-    clean_codes = clean_codes[near] if near.any() else clean_codes
+    kernel = LandmarkKernel(marks)
     values, vectors = np.linalg.eigh(kernel.of(marks).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     root = np.where(values > 1e-6, root, 0) @ vectors.T

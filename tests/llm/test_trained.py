@@ -267,6 +267,19 @@ def test_held_out_documents_and_disguises(spark, docs_of, edge_docs):
     assert toxicity.toxicity(docs.limit(0), machine).count() == 0
 
 
+def test_short_and_doubly_gapped_insults_meet_the_machine():
+    rng = random.Random(1)
+    clean = sorted({prose_word(rng) for _ in range(400)})
+    insults = ["scum", "idiot", "clown", "grumblard", "snorkwit"]
+    machine = toxicity.fit_machine([[w] for w in insults] * 5, dict.fromkeys(insults, 1.0), clean)
+    most = max(machine.margins(clean))
+    assert all(m > most + 0.2 for m in machine.margins(["scxum", "idxioqt", "clxoqwn"]))
+
+
+def prose_word(rng):
+    return "".join(rng.choice(["ka", "lo", "mi", "ne", "tu", "ra", "so", "vi"]) for _ in range(rng.randrange(1, 5)))
+
+
 def test_labels_of_one_side_or_none(spark, docs_of):
     docs = docs_of((1, "a text"), (2, "another text"))
     for rows, score in (([], 0.0), ([(1, 0)], 0.0), ([(1, 1)], 1.0)):
