@@ -30,8 +30,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    return near_dups.drop_near_duplicates(docs)
+    """One document of each group of near duplicates stays, the one with the smallest id, and that as one row."""
+    return near_dups.drop_repeats(near_dups.drop_near_duplicates(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

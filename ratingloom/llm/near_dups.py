@@ -247,8 +247,18 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document of each group, columns as they came; exact repeats of a kept row are one row as well."""
+    """``docs`` with one document of each group, columns as they came; repeats of a kept row stay, see ``drop_repeats``."""
     found = near_duplicates(docs, **parameters)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
     return packed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """One row for each (doc_id, text), columns as they came; null ids are told apart by their text alone.
+
+    Rows that differ in other columns only are repeats, of which the one with the smallest hash of those columns stays.
+    """
+    others = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
+    packed = docs.select(F.struct("*").alias("row"), others.alias("order"), F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
+    return packed.groupBy("id", "digest").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -129,6 +129,17 @@ def test_near_duplicates_of_odd_rows(edge_docs):
     assert near_dups.near_duplicates(edge_docs.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_keeps_one_row_of_repeats(spark, docs_of, edge_docs):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_near_duplicates(spark, edge_docs, "")
+    assert kept.columns == edge_docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"]
+    twice = docs_of((None, "nobody"), (None, "nobody"), (None, "other"), (7, None), (7, None), (7, "a text"), (7, "a text"))
+    rows = corpus_pipeline.drop_near_duplicates(spark, twice.unionByName(twice), "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == [("7", "None"), ("7", "a text"), ("None", "nobody"), ("None", "other")]
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (500, 501), (501, 500)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(path, "u long, v long")).collect()}
