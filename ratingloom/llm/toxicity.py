@@ -3,9 +3,10 @@
 Strings are compared by their gap-weighted subsequences of three letters: a subsequence that spans ``s`` letters weighs
 ``DECAY ** s``, up to ``SPAN`` letters, so letters put into an insult or left out of it lower the similarity instead of
 hiding it. Signs inside words are dropped, look-alike digits read as letters, and single letters set apart are read as one
-word. A sentence is a bag of strings and is as toxic as its most toxic one; a document is as toxic as its worst sentence.
+word. A document is a bag of such strings and is as toxic as its most toxic one; strings never cross a blank, so abuse made
+of ordinary words or an insult cut into pieces of several letters is not seen.
 
-Training is multiple-instance: sentences inherit the label of their document, a toxic document has one witness string at
+Training is multiple-instance: strings inherit the label of their document, a toxic document has one witness string at
 least and a clean one has none. Landmarks are witnesses and frequent clean strings; the kernel on them gives the feature
 map, a squared-hinge machine separates witnesses from clean strings, and witnesses are chosen again by its margins. Every
 string meets all landmarks, and a logistic curve on the largest margin gives the score.
