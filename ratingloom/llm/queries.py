@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratingloom.llm import chat, decontam, katz, line_templates, mixing, near_dups, neighbours, pii, token_counts, toxicity
-from ratingloom.llm.store import table
+from ratingloom.llm import (
+    chat,
+    decontam,
+    katz,
+    line_templates,
+    mixing,
+    near_dups,
+    neighbours,
+    packing,
+    periodic_runs,
+    pii,
+    prefix_trie,
+    token_counts,
+    toxicity,
+)
+from ratingloom.llm.store import WORD, cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +217,111 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs.where(toxicity.learned_from(F.col("doc_id"))), labels)
     scored = toxicity.toxicity(docs, machine)
     return scored.select("doc_id", (~toxicity.learned_from(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+# unsigned crc32 of a decimal number, byte by byte and bit by bit
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    md5(length(role) || ':' || role || text) AS mark, length(text) AS chars
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id, {_CRC_SQL.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT i.conv_id, pos, mark, chars FROM ids AS i JOIN turns AS t ON t.conv_id = i.conv_id - i.conv_id % 100 AND pos <= h
+  UNION ALL
+  SELECT t.conv_id, pos - h + (SELECT count(*) FROM turns AS b WHERE b.conv_id = t.conv_id - t.conv_id % 100 AND b.pos <= h), mark, chars
+  FROM turns AS t JOIN ids USING (conv_id) WHERE pos > h),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS chars FROM ids
+  UNION ALL
+  SELECT conv_id, pos, string_agg(mark, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos), chars FROM rebuilt),
+lengths AS (SELECT conv_id, max(depth) AS turns FROM prefixes GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = turns), '') AS ends
+  FROM prefixes JOIN lengths USING (conv_id) GROUP BY path, depth),
+children AS (SELECT p.path, count(*) AS n FROM nodes AS c JOIN nodes AS p ON p.path = substr(c.path, 1, 32 * (c.depth - 1)) AND c.depth > 0 GROUP BY p.path),
+above AS (SELECT path, chars, n_convs, unnest(range(0, depth + 1)) AS up FROM nodes),
+subtrees AS (
+  SELECT substr(a.path, 1, 32 * up) AS path, count(*) FILTER (n IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM above AS a LEFT JOIN children USING (path) GROUP BY ALL)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(v.n_convs AS BIGINT) AS n_convs,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  sha256(v.ends) AS ends_sha256
+FROM nodes AS v JOIN subtrees USING (path) LEFT JOIN children USING (path)
+LEFT JOIN nodes AS p ON v.depth > 0 AND p.path = substr(v.path, 1, 32 * (v.depth - 1))"""
+
+
+def rebuilt_marks(marks: DataFrame, members: DataFrame) -> DataFrame:
+    """Every conversation c opened by the first h turns of conversation c - c % 100, its own first h left out."""
+    crc = F.crc32(F.col("conv_id").cast("string").cast("binary"))
+    asked = members.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), (crc % 6).alias("h"))
+    heads = marks.where("conv_id % 100 = 0 AND position <= 5").withColumnRenamed("conv_id", "base")
+    lengths = heads.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    moved = asked.join(lengths, "base", "left").withColumn("taken", F.least("h", F.coalesce("n", F.lit(0))))
+    opened = asked.join(heads, "base").where("position <= h").select("conv_id", "position", "mark", "chars")
+    own = marks.join(moved, "conv_id").where("position > h")
+    placed = (F.col("position") - F.col("h") + F.col("taken")).cast("int").alias("position")
+    return opened.unionByName(own.select("conv_id", placed, "mark", "chars"))
+
+
+@_query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = cut(prefix_trie.turn_marks(table(spark, sf_dir, "conversations")))
+    members = marks.select("conv_id").distinct()
+    trie = prefix_trie.prefix_trie(rebuilt_marks(marks, members), members)
+    counts = ("n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"))
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")
+    nodes = trie.nodes.join(prefix_trie.end_digests(trie.ends), "path", "left")
+    return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", *counts, digest)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts of every tenth checksum continue periodically from a place on that the checksum names."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def continued(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+
+        def at(i):
+            return F.get(words, F.when(i < a, i).otherwise(a + (i - a) % period).cast("int"))
+
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), at), " "))
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    # one element, so that the words are found once
+    made = F.get(F.transform(F.array(words), continued), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(made, "text")).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic_runs.most_periodic(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@_query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
