@@ -3,15 +3,16 @@
 A line goes down a tree of fixed depth: its number of tokens, then its leading tokens, tokens with a digit being a
 variable field. Under the leaf, lines are one template if they agree in all tokens, or in all but one of ``PARTS`` equal
 stretches of the tail, which then is a variable field as well (lines of ``LONG`` tokens and more). A template recurs if it
-stands in two distinct documents (``min_times_short`` distinct ones for lines under ``LONG`` tokens). Of a recurring
-template the first line in the document with the smallest id stays and all others are dropped, those of the same document
-too, so every dropped line has an earlier one of its kind. Without ``by_document`` the rule is the looser one of the
-registered SQL: ``min_times_short`` occurrences in at least two documents, and the first document keeps all its lines.
-
-Templates travel as 64-bit hashes of token count and tokens; only the final join moves texts. Nulls and odd rows: null and
-empty texts have no lines and come back as they are; lines under ``min_tokens`` tokens are never judged; a line repeated
-within one document only is not one that recurs across documents; rows that repeat an id count as one document; a null id
-stands for a document of its own, ordered by a hash of its text.
+stands in two distinct documents, or in ``min_times_short`` distinct ones if it is short: under ``LONG`` tokens and, for
+scripts without blanks, under ``LONG_CHARS`` characters. Of a recurring template the first line in the document with the
+smallest id stays and all others are dropped, those of the same document too, so every dropped line has an earlier one of
+its kind.
+
+Templates travel as hashes of token count and tokens; only the final join moves texts. A first count by 64-bit hashes sorts
+out the lines that cannot recur; what is left is counted by 128 bits, so that no line is dropped for a hash it shares with
+another. Nulls and odd rows: null and empty texts have no lines and come back as they are; a line without tokens is never
+judged; a line repeated within one document only is not one that recurs across documents; rows that repeat an id count as
+one document; a null id stands for a document of its own, ordered by a hash of its text.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from ratingloom.llm.store import cut
 DEPTH = 3
 PARTS = 4
 LONG = 8
+_CHECK = 1_000_003
+LONG_CHARS = 48
 MIN_TIMES_SHORT = 5
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 
 _SPACE = r"[\x20\x09\x0B-\x0D]+"
 _FIELD = r"[^\x20\x09\x0B-\x0D]*[0-9][^\x20\x09\x0B-\x0D]*"
@@ -38,24 +41,28 @@ def line_tokens(line: Column) -> Column:
 
 
 def template_keys(tokens: Column, depth: int, parts: int, long: int, least: int) -> Column:
-    """Hashes of the templates a line may belong to: all tokens first, then each stretch of the tail left open."""
+    """array<struct<key, check>>: two hashes of each template a line may belong to: all tokens first, then each stretch of
+    the tail left open."""
     n = F.size(tokens)
-    whole = F.xxhash64(F.lit(-1), n, tokens)
     step = F.ceil((n - depth) / F.lit(parts)).cast("int")
 
+    def key(part: int, *of: Column) -> Column:
+        return F.struct(
+            F.xxhash64(F.lit(part), n, *of).alias("key"), F.xxhash64(*of, n, F.lit(_CHECK + part)).alias("check")
+        )
+
     def open_at(part: int) -> Column:
         begin = F.lit(depth) + part * step
         before = F.slice(tokens, F.lit(1), F.least(begin, n))
         after = F.slice(tokens, F.least(begin + step, n) + 1, n)
-        return F.xxhash64(F.lit(part), n, before, after)
+        return key(part, before, after)
 
+    whole = key(-1, tokens)
     return F.when(n >= long, F.array(whole, *[open_at(part) for part in range(parts)])).when(n >= least, F.array(whole))
 
 
-def dropped_lines(
-    docs: DataFrame, min_times_short: int, min_tokens: int, depth: int, parts: int, long: int, by_document: bool
-) -> DataFrame:
-    """(row, places): positions of the lines to drop, per document."""
+def dropped_lines(docs: DataFrame, min_times_short: int, min_tokens: int, depth: int, parts: int, long: int) -> DataFrame:
+    """(row, places): positions of the lines to drop, ascending, per document."""
     row = F.xxhash64("doc_id", "text")
     lines = docs.select(row.alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     # a line that is too short has no keys; a filter on the tokens would have them computed twice
@@ -63,25 +70,35 @@ def dropped_lines(
         "row",
         F.coalesce("doc_id", "row").alias("doc"),
         "place",
-        (F.size("tokens") >= long).alias("long"),
-        F.explode(template_keys(F.col("tokens"), depth, parts, long, min_tokens)).alias("key"),
-    )
+        ((F.size("tokens") >= long) | (F.char_length(F.array_join("tokens", " ")) >= LONG_CHARS)).alias("long"),
+        F.explode(template_keys(F.col("tokens"), depth, parts, long, min_tokens)).alias("template"),
+    ).select("row", "doc", "place", "long", "template.key", "template.check")
     counted = keyed.groupBy("key").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("times"), F.max("long").alias("long")
     )
-    # by document, this is only a necessary condition, which sorts out most lines before documents are counted
+    # only a necessary condition, which sorts out most lines before documents are counted
     recurs = (F.col("first") < F.col("last")) & (F.col("long") | (F.col("times") >= min_times_short))
-    met = keyed.select("key", "row", "doc", "place", "long").join(counted.where(recurs).select("key", "first"), "key")
-    if not by_document:
-        return met.where("doc <> first").groupBy("row").agg(F.collect_set("place").alias("places"))
-    met = cut(met.drop("first"))
-    by_doc = met.groupBy("key", "doc").agg(F.min(F.struct("row", "place")).alias("at"), F.max("long").alias("long"))
+    met = cut(keyed.join(counted.where(recurs).select("key"), "key"))
+    template = ["key", "check"]
+    by_doc = met.groupBy(*template, "doc").agg(F.min(F.struct("row", "place")).alias("at"), F.max("long").alias("long"))
     needed = F.when(F.max("long"), F.lit(2)).otherwise(F.lit(min_times_short))
-    templates = by_doc.groupBy("key").agg(
+    templates = by_doc.groupBy(*template).agg(
         (F.count(F.lit(1)) >= needed).alias("recurs"), F.min(F.struct("doc", "at")).getField("at").alias("at")
     )
-    later = met.join(templates.where("recurs").select("key", "at"), "key").where(F.struct("row", "place") != F.col("at"))
-    return later.groupBy("row").agg(F.collect_set("place").alias("places"))
+    kept = templates.where("recurs").select(*template, "at")
+    later = met.join(kept, template).where(F.struct("row", "place") != F.col("at"))
+    return later.groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+
+def _kept(lines: Column, places: Column) -> Column:
+    """The lines without those at ``places``, as the stretches between them; linear in both."""
+
+    def stretch(k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get(places, k - 1) + 1)
+        end = F.coalesce(F.get(places, k), F.size(lines))
+        return F.slice(lines, begin + 1, end - begin)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), stretch))
 
 
 def drop_recurring_lines(
@@ -91,18 +108,18 @@ def drop_recurring_lines(
     depth: int = DEPTH,
     parts: int = PARTS,
     long: int = LONG,
-    by_document: bool = True,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """``docs`` with the kept lines as text and the columns ``n_lines`` and ``n_dropped``, in place of any of that name."""
     packed = docs.select(F.struct("*").alias("__all"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    found = dropped_lines(packed.select("doc_id", "text"), min_times_short, min_tokens, depth, parts, long, by_document)
+    found = dropped_lines(packed.select("doc_id", "text"), min_times_short, min_tokens, depth, parts, long)
     marked = packed.withColumn("__row", F.xxhash64("doc_id", "text"))
     joined = marked.join(found, F.col("__row") == F.col("row"), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, at: ~F.array_contains("places", at))
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    # one element, so that the text is split once
+    left = F.get(F.transform(F.array(lines), lambda whole: F.array_join(_kept(whole, F.col("places")), "\n")), F.lit(0))
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(left)
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
         *[text.alias(c) if c == text_column else F.col("__all").getField(c).alias(c) for c in others],

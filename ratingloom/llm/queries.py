@@ -123,17 +123,20 @@ tokens AS (
     CASE WHEN regexp_matches(line, '[0-9]')
       THEN regexp_replace(line, '[^\x20\x09\x0B-\x0D]*[0-9][^\x20\x09\x0B-\x0D]*', '<*>', 'g') ELSE line END,
     '[^\x20\x09\x0B-\x0D]+') AS t FROM lines),
-judged AS (SELECT *, len(t) AS n, CAST(ceil((len(t) - 3) / 4.0) AS BIGINT) AS step FROM tokens WHERE len(t) >= 3),
+judged AS (
+  SELECT *, len(t) AS n, CAST(ceil((len(t) - 3) / 4.0) AS BIGINT) AS step, len(t) >= 8 OR length(array_to_string(t, ' ')) >= 48 AS long
+  FROM tokens WHERE len(t) >= 1),
 keyed AS (
-  SELECT doc_id, place, n, -1 AS part, t AS head, CAST([] AS VARCHAR[]) AS tail FROM judged
+  SELECT doc_id, place, n, long, -1 AS part, t AS head, CAST([] AS VARCHAR[]) AS tail FROM judged
   UNION ALL
-  SELECT doc_id, place, n, part, t[1:least(3 + part * step, n)], t[least(3 + part * step + step, n) + 1:n]
+  SELECT doc_id, place, n, long, part, t[1:least(3 + part * step, n)], t[least(3 + part * step + step, n) + 1:n]
   FROM judged, (SELECT unnest(range(0, 4)) AS part) WHERE n >= 8),
 recurring AS (
-  SELECT part, n, head, tail, min(doc_id) AS first FROM keyed GROUP BY part, n, head, tail
-  HAVING min(doc_id) < max(doc_id) AND (n >= 8 OR count(*) >= 5)),
+  SELECT part, n, head, tail, min(struct_pack(d := doc_id, p := place)) AS first FROM keyed GROUP BY part, n, head, tail
+  HAVING count(DISTINCT doc_id) >= CASE WHEN bool_or(long) THEN 2 ELSE 5 END),
 dropped AS (
-  SELECT DISTINCT doc_id, place FROM keyed JOIN recurring USING (part, n, head, tail) WHERE doc_id <> first),
+  SELECT DISTINCT doc_id, place FROM keyed JOIN recurring USING (part, n, head, tail)
+  WHERE doc_id <> first.d OR place <> first.p),
 kept AS (
   SELECT doc_id, count(*) AS n_lines, count(d.place) AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (d.place IS NULL), '') AS text
@@ -146,8 +149,7 @@ FROM documents AS d LEFT JOIN kept USING (doc_id)"""
 @_query("op10_line_templates", LINES_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the looser rule of LINES_SQL; the pipeline counts documents
-    return line_templates.drop_recurring_lines(docs, by_document=False).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_templates.drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 @_query("op3_token_counts")

@@ -156,11 +156,25 @@ def test_templates_generalise_one_stretch_and_digits(docs_of):
 
 
 def test_short_lines_need_more_occurrences(docs_of):
-    few = docs_of(*[(i, "All rights reserved.\nbody") for i in range(4)])
+    few = docs_of(*[(i, f"All rights reserved.\nbody{'abcd'[i]}") for i in range(4)])
     assert all(t.startswith("All") for t in kept_lines(few).values())
-    many = docs_of(*[(i, f"All rights reserved.\nbody\nDie.") for i in range(6)])
+    many = docs_of(*[(i, f"All rights reserved.\n{'uvwxyz'[i]}\nDie.\n") for i in range(6)])
     found = kept_lines(many)
-    assert found[0].startswith("All") and all(found[i] == "body\nDie." for i in range(1, 6))
+    assert found[0] == "All rights reserved.\nu\nDie.\n"
+    assert all(found[i] == f"{'uvwxyz'[i]}\n" for i in range(1, 6))
+
+
+def test_a_long_line_without_blanks_is_long(docs_of):
+    passage = "東京" * 30
+    found = kept_lines(docs_of((1, f"a\n{passage}"), (2, f"{passage}\nb"), (3, "東京\nc"), (4, "東京")))
+    assert found == {1: f"a\n{passage}", 2: "b", 3: "東京\nc", 4: "東京"}
+
+
+def test_many_dropped_lines_in_one_text(docs_of):
+    lines = [f"line {a} of {b} words that stands in both of the texts {a}{b}" for a in "abcdefgh" for b in "abcdefgh"] * 200
+    whole = "\n".join(lines)
+    found = kept_lines(docs_of((1, whole), (2, f"own first\n{whole}\nown last")))
+    assert found[2] == "own first\nown last" and found[1].count("\n") == 63
 
 
 def test_short_lines_are_counted_by_document(docs_of):
