@@ -2,9 +2,10 @@
 
 Nodes of the field are the words of a document that hold a digit or an at sign; all other words are outside any entity.
 Neighbouring nodes are linked as a chain. Skip links join a word to the previous one of the same key in the document,
-however far away: the same spelling, the same digits (seven and more) or the same mailbox name, so each occurrence has one
-link per key and a word repeated a thousand times costs a thousand links. Words under a rule's match are observed. Loopy
-message passing gives the others their marginals, and runs of words that are one kind with probability ``sure`` or more
+however far away: the same spelling, the same last digits (seven and more, over several words too, so that one number in
+two groupings is one key) or the same mailbox name, so each occurrence has one link per key and a word repeated a thousand
+times costs a thousand links. Words under a rule's match are observed. Loopy
+message passing, iterated until the messages settle, gives the others their marginals over the kinds they can be, and runs of words that are one kind with probability ``sure`` or more
 become added spans.
 
 Weights come from the rules' own labels by pseudo-likelihood, with the labels of linked words as features, over at most
@@ -29,7 +30,8 @@ from ratingloom.llm.store import cut, on_workers
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4_000
 SURE = 0.8
-SWEEPS = 12
+# messages are passed until none changes by more than this, or until a loop keeps them from settling
+SETTLED, SWEEPS = 1e-4, 2_000
 # log-odds that linked words share an entity kind, on top of what the sample shows; entities that repeat are rare in it
 CONSISTENCY = 4.0
 
@@ -44,6 +46,8 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _CANDIDATE = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'<>[]{}"
+# numbers are told by their last digits, so that a prefix may be left out
+_TELLING = 10
 
 Span = tuple[str, int, int]
 
@@ -73,11 +77,17 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", done)
 
 
+def _octet(part: str) -> bool:
+    """Whether digits of any number, leading zeros included, name at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def _ips(text: str) -> Iterator[Span]:
     for run in _DOTTED.finditer(text):
         if run.group().count(".") >= 3:
             for m in _IP.finditer(text, run.start(), run.end()):
-                if all(int(part) <= 255 for part in m.group().split(".")):
+                if all(_octet(part) for part in m.group().split(".")):
                     yield "ip", m.start(), m.end()
 
 
@@ -102,6 +112,8 @@ def base_spans(text: str) -> list[Span]:
 
 _BUCKETS = (0, 1, 2, 3, 4, 6, 9, 13, 19)
 _SHAPES = 16
+# log-odds of a label that a word cannot have; sweeps without damping
+_NEVER, _FREE = -1e3, 30
 _LABELS = 1 + len(KINDS)
 WIDTH = 1 + len(_BUCKETS) + 1 + _SHAPES
 
@@ -114,7 +126,7 @@ def _shape(word: str, before: str, after: str) -> list[int]:
         any(c.isalpha() for c in word),
         "@" in word,
         bool(re.search(r"[^@]@[^@]+\.[^@]", word)),
-        len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts if p.isascii()) and word.isascii(),
+        len(parts) == 4 and word.isascii() and all(p.isdigit() and _octet(p) for p in parts),
         len(parts) > 1,
         word.startswith("+"),
         "-" in word,
@@ -137,7 +149,7 @@ class Graph:
 
     def __init__(self, text: str, base: list[Span]):
         words = [(m.group(), m.start()) for m in _WORD.finditer(text)]
-        self.spans, self.features, self.labels, kept = [], [], [], []
+        self.spans, self.features, self.labels, self.possible, kept = [], [], [], [], []
         marks = sorted(base, key=lambda s: s[1])
         low = 0
         for k, (raw, begin) in enumerate(words):
@@ -160,19 +172,40 @@ class Graph:
             self.spans.append((start, end))
             self.features.append(_shape(word, *near))
             self.labels.append(label)
+            self.possible.append(_possible(word))
         self.chain = [(i, i + 1) for i in range(len(kept) - 1) if kept[i + 1] == kept[i] + 1]
         self.skip = []
+        # one number in several words, however it is grouped, has one key, and each of its words gets the links of it
+        joined: dict[int, tuple[str, list[int]]] = {}
+        run: list[tuple[int, str]] = []
+        for i, k in enumerate(kept):
+            digits = _digits(words[k][0])
+            if not digits or any(c.isalpha() or c == "@" for c in words[k][0]):
+                run = []
+                continue
+            follows = run and kept[run[-1][0]] == k - 1
+            run = [*(run if follows else []), (i, digits)]
+            # as many words as hold the digits that tell numbers apart
+            while len(run) > 1 and sum(len(d) for _, d in run[1:]) >= _TELLING:
+                run = run[1:]
+            whole = "".join(d for _, d in run)
+            if len(run) > 1 and len(whole) >= 7:
+                joined[i] = whole[-_TELLING:], [at for at, _ in run]
         last: dict[tuple[str, str], int] = {}
         for i, k in enumerate(kept):
             word = words[k][0].strip(_EDGE).lower()
             digits = _digits(word)
             keys = [("word", word)] if len(word) >= 5 else []
             if len(digits) >= 7:
-                keys.append(("digits", digits))
+                keys.append(("digits", digits[-_TELLING:]))
             if "@" in word:
                 keys.append(("mailbox", word.split("@")[0]))
-            for j in sorted({last[key] for key in keys if key in last}):
-                self.skip.append((j, i))
+            links = {(last[key], i) for key in keys if key in last}
+            if i in joined:
+                key = ("digits", joined[i][0])
+                links |= {(last[key], at) for at in joined[i][1] if key in last and last[key] < at}
+                keys.append(key)
+            self.skip += sorted(links)
             last.update(dict.fromkeys(keys, i))
 
 
@@ -220,13 +253,20 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (most + np.log(np.exp(a - most).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(graph: Graph, weights: dict[str, np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
-    """Label probabilities per node by damped loopy message passing over chain and skip links."""
+def _possible(word: str) -> list[bool]:
+    """Which labels a word may have at all: an email holds an at sign, an ip three dots or more, cards and phones digits."""
+    some = bool(_digits(word))
+    return [True, "@" in word, some and word.count(".") >= 3, some and "@" not in word, some and "@" not in word]
+
+
+def marginals(graph: Graph, weights: dict[str, np.ndarray], settled: float = SETTLED, sweeps: int = SWEEPS) -> np.ndarray:
+    """Label probabilities per node by loopy message passing over chain and skip links, iterated until it settles."""
     node = np.array([weights["node"][f].sum(0) for f in graph.features])
     labels = np.array(graph.labels)
     held = labels > 0
     node[held] = -50.0
     node[held, labels[held]] = 0.0
+    node[~held] = np.where(np.array(graph.possible, bool).reshape(-1, _LABELS)[~held], node[~held], _NEVER)
     links = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
     belief = node
     if len(links):
@@ -234,12 +274,16 @@ def marginals(graph: Graph, weights: dict[str, np.ndarray], sweeps: int = SWEEPS
         source, target = np.concatenate([links, links[:, ::-1]]).T
         pair, back = np.concatenate([pair, pair]), np.roll(np.arange(2 * len(links)), len(links))
         message = np.zeros((2 * len(links), _LABELS))
-        for _ in range(sweeps):
+        for turn in range(sweeps):
             fresh = _log_sum((belief[source] - message[back])[:, :, None] + pair, 1)
             fresh -= fresh.max(1, keepdims=True)
-            message = 0.5 * message + 0.5 * fresh
+            moved = np.abs(fresh - message).max()
+            # undamped as on a tree, where messages settle after as many sweeps as the longest path; damped once loops show
+            message = fresh if turn < len(labels) and turn < _FREE else 0.5 * message + 0.5 * fresh
             belief = node.copy()
             np.add.at(belief, target, message)
+            if moved <= settled:
+                break
     return np.exp(belief - _log_sum(belief, 1)[:, None])
 
 
