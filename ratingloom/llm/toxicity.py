@@ -254,12 +254,19 @@ def spread_out(codes: np.ndarray, most: int, alike: float = 0.6) -> np.ndarray:
 def fit_machine(bags: list[list[str]], evidence: dict[str, float], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 2) -> Machine:
     """``bags``: candidate strings of each toxic document; ``evidence``: how much each speaks for toxicity by counts;
     ``clean``: strings that do not, those that are hardest to tell apart first."""
+    # long strings are learned as all their windows, as they are scored
+    spoken: dict[str, float] = {}
+    for w, speaks in evidence.items():
+        for part in _read(w):
+            spoken[part] = max(speaks, spoken.get(part, speaks))
+    evidence, bags = spoken, [sorted({part for w in bag for part in _read(w)}) for bag in bags]
+    clean = list(dict.fromkeys(part for w in clean for part in _read(w)))
     pool = sorted({w for bag in bags for w in bag})
     number = {w: i for i, w in enumerate(pool)}
-    pool_codes = letter_codes([_read(w)[0] for w in pool])
+    pool_codes = letter_codes(pool)
     prior = np.array([evidence[w] for w in pool])
     prior = prior / max(prior.max(), 1e-9)
-    clean_codes = letter_codes([_read(w)[0] for w in clean])
+    clean_codes = letter_codes(clean)
     marked = [np.array([number[w] for w in bag]) for bag in bags if bag]
     of_toxic = spread_out(pool_codes[np.argsort(-prior, kind="stable")], landmarks // 2)
     marks = np.vstack([of_toxic, spread_out(clean_codes, landmarks - len(of_toxic))])
@@ -267,8 +274,8 @@ def fit_machine(bags: list[list[str]], evidence: dict[str, float], clean: list[s
     values, vectors = np.linalg.eigh(kernel.of(marks).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     root = np.where(values > 1e-6, root, 0) @ vectors.T
-    disguised = [v for w in pool for v in stretched(_read(w)[0])]
-    of = np.array([i for i, w in enumerate(pool) for _ in stretched(_read(w)[0])], int)
+    disguised = [v for w in pool for v in stretched(w)]
+    of = np.array([i for i, w in enumerate(pool) for _ in stretched(w)], int)
     disguised_x = _features(letter_codes(disguised), kernel, root)
     toxic_x, clean_x = _features(pool_codes, kernel, root), _features(clean_codes, kernel, root)
     belief, w = prior, None
