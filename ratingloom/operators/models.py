@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from ratingloom.operators.joins import reproduction_diff, with_one_row
+from ratingloom.operators.joins import reproduction_diff, settled, with_one_row
 from ratingloom.operators.metrics import METRICS, metric_row, metrics_ledger, regression_metrics, select_best
 from ratingloom.operators.ordering import head_by, row_position, summary_position
 from ratingloom.operators.quantiles import grouped_quantiles
+from ratingloom.session import shared_folder, stored
 from ratingloom.sources import schema as S
 
 # --- fixed values: features, model parameters, grid --------------------------------------------------
@@ -41,11 +42,21 @@ DIAGNOSTIC_FOREST = {"max_depth": 18, "min_samples_leaf": 1, "max_features": 0.9
 SEED = 42
 REPEATS = 8
 REPRODUCTION_TOLERANCE = 0.00051
+# rounds of the keyed permutation, and steps after which a place must be inside
+ROUNDS, WALK = 6, 128
 
 # Spark's trees stop at this depth; it stands for "no limit"
 DEEPEST = 30
 RAW_PREDICTION = "prediction"
 HELD = "__held"
+# scaled numbers and one column per level; the trees read the same rows as plain numbers and level indices
+LINEAR, TREE = "features", "tree_features"
+# histograms of one pass over the rows may take so much memory of a task; deeper levels take several passes
+LEVEL_MB = 1024
+# every so many levels the places of the rows in the trees go to the checkpoint folder
+LEVELS_KEPT = 10
+# numbers are cut into so many bins; a category with more levels gets one for each
+BINS = 32
 
 
 def assert_no_leakage(features: list[str], excluded: list[str] = S.LEAKY_COLUMNS) -> list[str]:
@@ -141,7 +152,10 @@ def build_preprocessor(train: DataFrame, numeric: list[str], categorical: list[s
         ),
         VectorAssembler(
             inputCols=[f"{n}__scaled" for n in numeric] + [f"{n}__levels" for n in categorical],
-            outputCol="features",
+            outputCol=LINEAR,
+        ),
+        VectorAssembler(
+            inputCols=[f"{n}__scaled" for n in numeric] + [f"{n}__index" for n in categorical], outputCol=TREE
         ),
     ]
 
@@ -157,6 +171,8 @@ def preprocess(train: DataFrame, df: DataFrame, numeric: list[str], categorical:
 def ridge(train: DataFrame, alpha: float = RIDGE_ALPHA, target: str = TARGET) -> LinearRegression:
     """Ridge with penalty ``alpha`` on the summed squared errors of ``train``.
 
+    The solver is the normal equations: one pass sums the products of all pairs of columns in each partition, the sums
+    are merged in a tree and solved once, so the fit is exact and the driver holds columns x columns numbers at any size.
     Spark averages its loss over the rows and divides it by the spread of the target, so the penalty is
     scaled by both.
     """
@@ -164,7 +180,9 @@ def ridge(train: DataFrame, alpha: float = RIDGE_ALPHA, target: str = TARGET) ->
         F.count(target).alias("rows"), F.stddev_pop(F.col(target).cast("double")).alias("spread")
     ).first()
     penalty = alpha * (known["spread"] or 0.0) / max(known["rows"], 1)
-    return LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=0.0, standardization=False)
+    return LinearRegression(
+        featuresCol=LINEAR, labelCol=target, regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal"
+    )
 
 
 def boosted_trees(
@@ -182,8 +200,8 @@ def boosted_trees(
     ``held`` names a column that is true for rows kept back from the trees; rounds end once they stop improving on them.
     """
     return GBTRegressor(
-        labelCol=target, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf_rows, seed=seed,
-        validationIndicatorCol=held, validationTol=tolerance,
+        featuresCol=TREE, labelCol=target, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf_rows,
+        seed=seed, validationIndicatorCol=held, validationTol=tolerance, maxMemoryInMB=LEVEL_MB, maxBins=BINS,
     )
 
 
@@ -195,7 +213,14 @@ def forest(
     target: str = TARGET,
     seed: int = SEED,
 ) -> RandomForestRegressor:
+    """A forest that keeps each row's node per tree between levels and sums the histograms of a level in passes of
+    ``LEVEL_MB``, so the memory of a task does not grow with rows or nodes."""
     return RandomForestRegressor(
+        featuresCol=TREE,
+        maxMemoryInMB=LEVEL_MB,
+        maxBins=BINS,
+        cacheNodeIds=True,
+        checkpointInterval=LEVELS_KEPT,
         labelCol=target,
         numTrees=trees,
         maxDepth=min(max_depth or DEEPEST, DEEPEST),
@@ -205,13 +230,43 @@ def forest(
     )
 
 
-def fit(train: DataFrame, estimator, numeric: list[str], categorical: list[str], target: str = TARGET) -> PipelineModel:
-    """Preprocessor and estimator fitted on the same rows, as one persistable model."""
+@dataclass
+class Vectors:
+    """A preprocessor and the labelled rows it was fitted on, as vectors stored once in even parts for every fit."""
+
+    preprocessor: PipelineModel
+    rows: DataFrame
+    levels: int
+
+    def fit(self, estimator) -> PipelineModel:
+        """The preprocessor with the estimator fitted on the stored vectors, as one persistable model."""
+        if estimator.hasParam("maxBins"):
+            estimator = estimator.copy({estimator.getParam("maxBins"): max(BINS, self.levels)})
+        return PipelineModel(stages=[*self.preprocessor.stages, estimator.fit(self.rows)])
+
+
+def vectors(train: DataFrame, numeric: list[str], categorical: list[str], target: str = TARGET) -> Vectors:
+    """Preprocess the training rows once. Parts are even and at least as many as there are cores, so no fit runs in a few
+    tasks because a shuffle before it left few partitions."""
+    spark = train.sparkSession
+    shared_folder(spark)
     labelled = train.withColumn(target, F.col(target).cast("double"))
     # a tenth, drawn by a digest of the features, is what boosting checks its rounds against
     drawn = F.pmod(F.xxhash64(F.lit(SEED), *numeric, *categorical), F.lit(10)) == 0
-    marked = labelled.withColumn(HELD, drawn)
-    return Pipeline(stages=[*build_preprocessor(marked, numeric, categorical), estimator]).fit(marked)
+    # the statistics take several passes over a narrow table
+    narrow = stored(labelled.select(target, *numeric, *categorical, drawn.alias(HELD)), "training-rows")
+    preprocessor = Pipeline(stages=build_preprocessor(narrow, numeric, categorical)).fit(narrow)
+    made = preprocessor.transform(narrow).select(target, HELD, LINEAR, TREE)
+    read = narrow.select(F.spark_partition_id().alias("part")).distinct().count()
+    parts = max(read, spark.sparkContext.defaultParallelism)
+    # one level more than was seen stands for unknown ones
+    seen = [len(labels) for stage in preprocessor.stages if hasattr(stage, "labelsArray") for labels in stage.labelsArray]
+    return Vectors(preprocessor, stored(made.repartition(parts), "vectors"), max(seen, default=0) + 1)
+
+
+def fit(train: DataFrame, estimator, numeric: list[str], categorical: list[str], target: str = TARGET) -> PipelineModel:
+    """Preprocessor and estimator fitted on the same rows, as one persistable model."""
+    return vectors(train, numeric, categorical, target).fit(estimator)
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = RAW_PREDICTION) -> DataFrame:
@@ -240,16 +295,20 @@ def tune_forest(
 ) -> DataFrame:
     """Validation metrics of every grid point, best first; the best one is marked.
 
-    Rows are preprocessed once and cached; each grid point then trains on the same vectors.
+    Rows are preprocessed and stored once; each grid point then trains on the same vectors.
     """
-    labelled = train.withColumn(target, F.col(target).cast("double"))
-    prepared = Pipeline(stages=build_preprocessor(labelled, numeric, categorical)).fit(labelled)
-    vectors = prepared.transform(labelled).select(target, "features").persist()
-    checked = prepared.transform(validation).select(target, "features").persist()
+    return tuned_on(vectors(train, numeric, categorical, target), validation, grid, trees, target)
+
+
+def tuned_on(
+    known: Vectors, validation: DataFrame, grid: list[dict] | None = None, trees: int = FOREST_TREES, target: str = TARGET
+) -> DataFrame:
+    """``tune_forest`` on rows that are vectors already."""
+    checked = stored(known.preprocessor.transform(validation).select(target, TREE), "checked-vectors")
     rows = []
     for number, point in enumerate(grid or FOREST_GRID, start=1):
         started = time.time()
-        model = forest(trees=trees, target=target, **point).fit(vectors)
+        model = known.fit(forest(trees=trees, target=target, **point)).stages[-1]
         found = regression_metrics(model.transform(checked), target, RAW_PREDICTION).first()
         rows.append(
             (
@@ -263,8 +322,6 @@ def tune_forest(
                 round(time.time() - started, 3),
             )
         )
-    vectors.unpersist()
-    checked.unpersist()
     schema = StructType(
         [
             StructField("tuning_id", IntegerType()),
@@ -277,7 +334,7 @@ def tune_forest(
             StructField("elapsed_seconds", DoubleType()),
         ]
     )
-    results = train.sparkSession.createDataFrame(rows, schema)
+    results = validation.sparkSession.createDataFrame(rows, schema)
     return mark_selected(results).orderBy("mae", "rmse", "tuning_id")
 
 
@@ -287,6 +344,9 @@ def mark_selected(results: DataFrame, key: str = "tuning_id") -> DataFrame:
     return results.withColumn("selected_configuration", (F.col(key) == best).cast("int"))
 
 
+LEDGER_KEYS = ["model_name", "model_scope", "split", "eligible_for_selection", "fit_period"]
+
+
 @dataclass
 class Evaluation:
     """What a temporal evaluation leaves behind."""
@@ -322,8 +382,10 @@ def evaluate(
     train, development = splits.train, splits.development
     fitted_on = f"until {splits.train_until}"
     refitted_on = f"until {splits.validate_until} refit"
-    tuning = tune_forest(train, splits.validation, numeric, categorical, grid, trees, target).persist()
-    best = grid[tuning.where("selected_configuration = 1").first()["tuning_id"] - 1]
+    known = vectors(train, numeric, categorical, target)
+    tuning = tuned_on(known, splits.validation, grid, trees, target)
+    tuned = tuning.where("selected_configuration = 1").first()
+    best = grid[tuned["tuning_id"] - 1]
 
     candidates = {
         "Ridge Regression": lambda rows: ridge(rows, target=target),
@@ -337,15 +399,23 @@ def evaluate(
         )
     ]
     for name, build in candidates.items():
-        model = fit(train, build(train), numeric, categorical, target)
-        scored = predict(model, splits.validation)
-        rows.append(metric_row(scored, name, scope, "validation", True, fitted_on, target, RAW_PREDICTION))
-    validation = metrics_ledger(rows).persist()
+        if name.startswith("Random Forest"):
+            # the grid point that won was fitted and checked already
+            row = tuning.where("selected_configuration = 1").select(
+                *[F.lit(v).alias(n) for n, v in zip(LEDGER_KEYS, (name, scope, "validation", 1, fitted_on), strict=True)],
+                *METRICS,
+            )
+        else:
+            scored = predict(known.fit(build(known.rows)), splits.validation)
+            row = metric_row(scored, name, scope, "validation", True, fitted_on, target, RAW_PREDICTION)
+        rows.append(row)
+    validation = settled(metrics_ledger(rows))
     selected = select_best(validation).first()["model_name"]
 
     model = None
     if selected in candidates:
-        model = fit(development, candidates[selected](development), numeric, categorical, target)
+        refit = vectors(development, numeric, categorical, target)
+        model = refit.fit(candidates[selected](refit.rows))
         tested = predict(model, splits.test)
     else:
         tested = median_baseline(development, splits.test, target)
@@ -376,23 +446,55 @@ def leaky_diagnostic(
 # --- importance and reproduction ---------------------------------------------------------------------
 
 
+def _scrambled(spot: Column, bits: int, *seeds: Column) -> Column:
+    """A keyed bijection of 0 .. 2^bits - 1: a Feistel network whose halves may differ by one bit."""
+    left, right = bits // 2, bits - bits // 2
+    for number in range(ROUNDS):
+        # (high half of ``left`` bits, low half of ``right`` bits): the low half becomes the high one
+        high, low = F.shiftright(spot, right), spot.bitwiseAND(F.lit((1 << right) - 1))
+        mixed = F.xxhash64(*seeds, F.lit(number), low).bitwiseAND(F.lit((1 << left) - 1))
+        spot = F.shiftleft(low, left) + high.bitwiseXOR(mixed)
+        left, right = right, left
+    return spot
+
+
+def permuted(spot: Column, rows: int, *seeds: Column) -> Column:
+    """Another place for each of the places 0 .. rows - 1, all different; seeds choose the permutation.
+
+    A place that falls outside walks on along its cycle until it is inside again; more than half of all places are inside,
+    so that ``WALK`` steps are enough but for one place in 2^WALK, which is an error.
+    """
+    bits = max(2, (rows - 1).bit_length())
+    inside = F.lit(rows)
+
+    def step(at: Column, _: Column) -> Column:
+        return F.when((at["n"] > 0) & (at["spot"] < inside), at).otherwise(
+            F.struct(_scrambled(at["spot"], bits, *seeds).alias("spot"), (at["n"] + 1).alias("n"))
+        )
+
+    start = F.struct(spot.cast("long").alias("spot"), F.lit(0).alias("n"))
+    ended = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda at: at["spot"])
+    return F.when(ended < inside, ended).otherwise(F.raise_error(F.lit("a permuted place did not come back")).cast("long"))
+
+
 def shuffled_partners(
     df: DataFrame, key: str, columns: list[str], repeats: int, seed: int = SEED
 ) -> DataFrame:
     """For every repeat, each row with the ``columns`` of another row of a random permutation.
 
-    Rows are numbered by key, once for all repeats, and per repeat by a digest of key and seed; equal numbers are
-    partners.
+    Rows are numbered by key once; the partner's number is a keyed bijection of a row's own, so a repeat needs no sort and
+    all repeats meet their partners in one join on the number.
     """
-    every = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    numbered = row_position(df, [key], name="__spot")
-    rows = numbered.withColumn("__repeat", every)
-    drawn = numbered.drop("__spot").withColumn("__repeat", every).select(
-        "__repeat", key, F.struct(*columns).alias("__partner"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__repeat"), F.col(key))).alias("__draw"),
-    )
-    partners = row_position(drawn, ["__draw", key], ["__repeat"], "__spot")
-    return rows.join(partners.select("__repeat", "__spot", "__partner"), ["__repeat", "__spot"]).drop("__spot")
+    # read twice, by both sides of the join and by every feature
+    numbered = stored(row_position(df, [key], name="__spot", start=0), "numbered-rows")
+    size = numbered.count()
+    if size == 0:
+        return numbered.select(F.lit(0).alias("__repeat"), *df.columns, F.struct(*columns).alias("__partner"))
+    every = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("__repeat")
+    rows = numbered.select("*", every)
+    drawn = rows.withColumn("__drawn", permuted(F.col("__spot"), size, F.lit(seed), F.col("__repeat"))).drop("__spot")
+    partners = numbered.select(F.col("__spot").alias("__drawn"), F.struct(*columns).alias("__partner"))
+    return drawn.join(partners, "__drawn").drop("__drawn")
 
 
 def permutation_importance(
@@ -410,7 +512,7 @@ def permutation_importance(
     needed = df.select(key, target, *features)
     error = F.abs(F.col(RAW_PREDICTION) - actual)
     intact = model.transform(needed).agg(F.avg(error).alias("intact_mae"))
-    paired = shuffled_partners(needed, key, features, repeats, seed).persist()
+    paired = stored(shuffled_partners(needed, key, features, repeats, seed), "partners")
     shuffled = []
     for name in features:
         swapped = paired.withColumn(name, F.col(f"__partner.{name}"))

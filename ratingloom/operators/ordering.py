@@ -14,6 +14,8 @@ from ratingloom.session import shared_folder
 
 _PART = "__part"
 _SLOT = "__slot"
+# leading hexadecimal digits that a keyed sample counts its rows by
+DIGITS = 4
 
 
 def order_columns(order: list[str]) -> list[Column]:
@@ -194,10 +196,35 @@ def top_n_displayed(df: DataFrame, order: list[str], n: int, display: list[str])
 
 
 def sample_cap(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
-    """All rows up to ``n``; beyond that a reproducible pseudo-random ``n`` of them.
+    """All rows up to ``n``; beyond that a reproducible pseudo-random ``n`` of them, left in the partitions they are in.
 
-    Rows are ordered by a digest of seed and key, so the sample does not depend on partitioning.
+    Rows are ordered by a digest of seed and key, so the sample does not depend on partitioning. The ``n``-th smallest
+    digest is found by its leading digits: rows are counted by the first ``DIGITS`` hexadecimal digits, combined before
+    the shuffle into at most 16^DIGITS counts; all rows below the digits at which the count passes ``n`` are taken, and
+    those at these digits are counted by the next ones. What two counts leave open is about one row in 16^(2 DIGITS), and
+    only that is put in order.
     """
     spelled = F.concat_ws("|", F.lit(str(seed)), *[F.col(name).cast("string") for name in key])
     drawn = df.withColumn("__draw", F.md5(spelled))
-    return top_n(drawn, ["__draw", *key], n).drop("__draw")
+    digits = F.col("__draw")
+    taken, left, prefix = None, n, ""
+    for level in (1, 2):
+        found = _crossing(drawn.where(digits.startswith(prefix)), F.substring(digits, 1, level * DIGITS), left)
+        if found is None:
+            return df
+        left, prefix = left - found["before"], found["digits"]
+        below = F.substring(digits, 1, level * DIGITS) < F.lit(prefix)
+        taken = below if taken is None else taken | below
+    edge = row_position(drawn.where(digits.startswith(prefix)), ["__draw", *key], name="__spot")
+    last = edge.where(F.col("__spot") <= left).drop("__spot")
+    return drawn.where(taken).unionByName(last).drop("__draw")
+
+
+def _crossing(df: DataFrame, digits: Column, n: int):
+    """The digits at which the count of rows, digits ascending, reaches ``n``, and the rows before; None for fewer rows."""
+    counts = df.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("rows"))
+    # at most 16^DIGITS rows
+    running = F.sum("rows").over(Window.orderBy("digits").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = counts.withColumn("running", running)
+    crossed = summed.where(F.col("running") >= n).orderBy("digits")
+    return crossed.select("digits", (F.col("running") - F.col("rows")).alias("before")).first()

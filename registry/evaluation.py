@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ratingloom.operators import metrics as M, models as ML
 from ratingloom.operators.joins import join_on_keys, settled
 from ratingloom.operators.metrics import PREDICTION_COLUMNS
-from ratingloom.operators.ordering import head_by, sample_cap, summary_position
+from ratingloom.operators.ordering import head_by, summary_position
 from ratingloom.plans import validation as V, views as W
 from ratingloom.session import scratch_path, stored
 from ratingloom.sources import writers as IO
@@ -512,28 +512,8 @@ def export_manifest(spark, folder):
 # --- fitted models -----------------------------------------------------------------------------------
 
 NUMERIC, CATEGORICAL = ML.NUMERIC_FEATURES, ML.CATEGORICAL_FEATURES
-# a fit learns from at most so many labelled rows, drawn by a digest of the key; scores and metrics use all rows
-FIT_ROWS = 300
-
-
-class FitSplits(ML.Splits):
-    """Splits whose labelled sides are bounded for a fit."""
-
-    @property
-    def train(self) -> DataFrame:
-        return sample_cap(super().train, FIT_ROWS, ML.SEED, _key(self.df))
-
-    @property
-    def development(self) -> DataFrame:
-        return sample_cap(super().development, FIT_ROWS, ML.SEED, _key(self.df))
-
-
-def _key(df: DataFrame) -> list[str]:
-    return ["vehicle_id"] if "vehicle_id" in df.columns else [c for c in df.columns if c != TARGET]
-
-
-def fit_splits(spark, folder) -> FitSplits:
-    return FitSplits(model_splits(spark, folder).df, "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
+# registered forests grow so many trees, on all training rows; the library's default is ML.FOREST_TREES
+TREES = 20
 
 
 @query(
@@ -554,14 +534,52 @@ def preprocess(spark, folder):
 
 
 def _validated(spark, folder, build, name: str) -> DataFrame:
-    parts = fit_splits(spark, folder)
+    parts = model_splits(spark, folder)
     model = ML.fit(parts.train, build(parts.train), NUMERIC, CATEGORICAL)
     scored = ML.predict(model, parts.validation)
     row = M.metric_row(scored, name, EARLY, "validation", True, f"until {TRAIN_UNTIL}", TARGET, "prediction")
     return row.withColumn("metric_id", F.lit(1))
 
 
-@query("ridge", LEDGER_SHAPE)
+_Y = f"CAST({TARGET} AS DOUBLE)"
+_KNOWN = f"model_year <= {TRAIN_UNTIL}"
+# rows as (row, column, value): scaled numbers, and 1 for each level that training rows have
+RIDGE_SQL = f"""WITH spreads AS (SELECT {", ".join(f"avg(CAST({n} AS DOUBLE)) AS m_{n}, stddev_pop(CAST({n} AS DOUBLE)) AS s_{n}" for n in NUMERIC)}
+    FROM numbered WHERE {_KNOWN}),
+  cells AS (
+    {" UNION ALL ".join(f"SELECT vehicle_id, model_year, '{n}' AS name, (CAST({n} AS DOUBLE) - m_{n}) / s_{n} AS x FROM numbered, spreads" for n in NUMERIC)}
+    UNION ALL {" UNION ALL ".join(f"SELECT vehicle_id, model_year, '{n}=' || {n}, 1.0 FROM numbered" for n in CATEGORICAL)}),
+  targets AS (SELECT vehicle_id, model_year, {_Y} AS y FROM numbered),
+  totals AS (SELECT count(*) AS n, avg(y) AS y FROM targets WHERE {_KNOWN}),
+  means AS (
+    SELECT name, row_number() OVER (ORDER BY name) AS i, sum(x) / any_value(n) AS mean, sum(x * t.y) - sum(x) * any_value(totals.y) AS b
+    FROM cells JOIN targets AS t USING (vehicle_id), totals WHERE t.{_KNOWN} GROUP BY name),
+  products AS (
+    SELECT a.name AS p, b.name AS q, sum(a.x * b.x) AS s FROM cells AS a JOIN cells AS b USING (vehicle_id)
+    WHERE a.{_KNOWN} GROUP BY ALL),
+  augmented AS (
+    SELECT u.i, list_append(list(coalesce(s, 0) - n * u.mean * v.mean + CASE WHEN u.i = v.i THEN {ML.RIDGE_ALPHA} ELSE 0 END ORDER BY v.i), any_value(u.b)) AS line
+    FROM totals, means AS u CROSS JOIN means AS v LEFT JOIN products ON p = u.name AND q = v.name GROUP BY u.i),
+  steps AS (
+    SELECT 1 AS k, list(line ORDER BY i) AS m FROM augmented
+    UNION ALL
+    SELECT k + 1, list_transform(m, lambda line, pos: list_transform(line, lambda v, col:
+      CASE WHEN pos = k THEN v / m[k][k] ELSE v - line[k] / m[k][k] * m[k][col] END)) FROM steps WHERE k <= len(m)),
+  weights AS (
+    SELECT name, mean, w[-1] AS w FROM means JOIN (
+      SELECT unnest(m) AS w, unnest(range(1, len(m) + 1)) AS i FROM steps WHERE k = len(m) + 1) USING (i)),
+  guesses AS (
+    SELECT vehicle_id, any_value(y) - (SELECT sum(w * mean) FROM weights) AS base
+    FROM cells, totals WHERE model_year > {TRAIN_UNTIL} AND model_year <= {VALIDATE_UNTIL} GROUP BY vehicle_id),
+  scored_rows AS (
+    SELECT vehicle_id, any_value(base) + coalesce(sum(x * w), 0) AS guess
+    FROM guesses JOIN cells USING (vehicle_id) LEFT JOIN weights USING (name) GROUP BY vehicle_id)
+  SELECT 1 AS metric_id, 'Ridge Regression' AS model_name, '{EARLY}' AS model_scope, 'validation' AS split,
+    1 AS eligible_for_selection, 'until {TRAIN_UNTIL}' AS fit_period, {metric_sql("y", "guess")}
+  FROM scored_rows JOIN targets USING (vehicle_id)"""
+
+
+@query("ridge", LEDGER_SHAPE, RIDGE_SQL.replace("WITH spreads", "WITH RECURSIVE spreads"), (RATINGS, NUMBERED))
 def ridge(spark, folder):
     return _validated(spark, folder, ML.ridge, "Ridge Regression")
 
@@ -577,25 +595,25 @@ def gbt(spark, folder):
     "selected_configuration:l",
 )
 def rf_tuning(spark, folder):
-    parts = fit_splits(spark, folder)
-    return ML.tune_forest(parts.train, parts.validation, NUMERIC, CATEGORICAL)
+    parts = model_splits(spark, folder)
+    return ML.tune_forest(parts.train, parts.validation, NUMERIC, CATEGORICAL, trees=TREES)
 
 
 @query("selected_model", LEDGER_SHAPE)
 def selected_model(spark, folder):
-    return ML.evaluate(fit_splits(spark, folder)).metrics
+    return ML.evaluate(model_splits(spark, folder), trees=TREES).metrics
 
 
 @query("leakage_diagnostic", LEDGER_SHAPE)
 def leakage_diagnostic(spark, folder):
     rich = NUMERIC + ML.MEASURED_FEATURES
-    row = ML.leaky_diagnostic(fit_splits(spark, folder), rich, CATEGORICAL)
+    row = ML.leaky_diagnostic(model_splits(spark, folder), rich, CATEGORICAL, TREES)
     return row.withColumn("metric_id", F.lit(1))
 
 
 def _forest(rows: DataFrame):
-    parts = FitSplits(rows, "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
-    return parts, ML.fit(parts.development, ML.forest(**ML.FOREST_GRID[0]), NUMERIC, CATEGORICAL)
+    parts = ML.Splits(rows, "model_year", TRAIN_UNTIL, VALIDATE_UNTIL)
+    return parts, ML.fit(parts.development, ML.forest(**ML.FOREST_GRID[0], trees=TREES), NUMERIC, CATEGORICAL)
 
 
 @query(
