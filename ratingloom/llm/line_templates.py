@@ -40,45 +40,59 @@ def line_tokens(line: Column) -> Column:
     return F.array_remove(tokens, "")
 
 
-def template_keys(tokens: Column, depth: int, parts: int, long: int, least: int) -> Column:
-    """array<struct<key, check>>: two hashes of each template a line may belong to: all tokens first, then each stretch of
-    the tail left open."""
+def stretch_hashes(tokens: Column, depth: int, parts: int, seed: int) -> list[Column]:
+    """Hashes of the leading tokens and of each stretch of the tail; where stretches begin depends on the token count."""
     n = F.size(tokens)
-    step = F.ceil((n - depth) / F.lit(parts)).cast("int")
+    step = F.greatest(F.ceil((n - depth) / F.lit(parts)).cast("int"), F.lit(0))
+    head = F.slice(tokens, F.lit(1), F.lit(depth))
+    return [F.xxhash64(F.lit(seed), s) for s in (head, *(F.slice(tokens, depth + 1 + p * step, step) for p in range(parts)))]
 
-    def key(part: int, *of: Column) -> Column:
-        return F.struct(
-            F.xxhash64(F.lit(part), n, *of).alias("key"), F.xxhash64(*of, n, F.lit(_CHECK + part)).alias("check")
-        )
 
-    def open_at(part: int) -> Column:
-        begin = F.lit(depth) + part * step
-        before = F.slice(tokens, F.lit(1), F.least(begin, n))
-        after = F.slice(tokens, F.least(begin + step, n) + 1, n)
-        return key(part, before, after)
+def template_keys(hashes: list[Column], n: Column, long: int, least: int, check: list[Column] | None = None) -> Column:
+    """A hash of each template a line may belong to: all stretches first, then each one of the tail left open; with
+    ``check``, hashes of another seed, a struct of both."""
+
+    def key(of: list[Column], part: int) -> Column:
+        return F.xxhash64(F.lit(part), n, *(h for at, h in enumerate(of) if part < 0 or at != part + 1))
+
+    def keys(part: int) -> Column:
+        return F.struct(key(hashes, part).alias("key"), key(check, part).alias("check")) if check else key(hashes, part)
 
-    whole = key(-1, tokens)
-    return F.when(n >= long, F.array(whole, *[open_at(part) for part in range(parts)])).when(n >= least, F.array(whole))
+    whole = keys(-1)
+    return F.when(n >= long, F.array(whole, *map(keys, range(len(hashes) - 1)))).when(n >= least, F.array(whole))
 
 
 def dropped_lines(docs: DataFrame, min_times_short: int, min_tokens: int, depth: int, parts: int, long: int) -> DataFrame:
     """(row, places): positions of the lines to drop, ascending, per document."""
     row = F.xxhash64("doc_id", "text")
     lines = docs.select(row.alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    # a line that is too short has no keys; a filter on the tokens would have them computed twice
-    keyed = lines.withColumn("tokens", line_tokens(F.col("line"))).select(
-        "row",
-        F.coalesce("doc_id", "row").alias("doc"),
-        "place",
-        ((F.size("tokens") >= long) | (F.char_length(F.array_join("tokens", " ")) >= LONG_CHARS)).alias("long"),
-        F.explode(template_keys(F.col("tokens"), depth, parts, long, min_tokens)).alias("template"),
-    ).select("row", "doc", "place", "long", "template.key", "template.check")
-    counted = keyed.groupBy("key").agg(
+    tokens = F.col("tokens")
+
+    def keyed(check: bool) -> DataFrame:
+        hashes = [h.alias(f"h{i}") for i, h in enumerate(stretch_hashes(tokens, depth, parts, 0))]
+        others = [h.alias(f"o{i}") for i, h in enumerate(stretch_hashes(tokens, depth, parts, _CHECK))] if check else []
+        by_chars = F.char_length(F.array_join(tokens, " ")) >= LONG_CHARS
+        # a line that is too short has no keys; a filter on the tokens would have them computed twice
+        hashed = lines.withColumn("tokens", line_tokens(F.col("line"))).select(
+            "row",
+            F.coalesce("doc_id", "row").alias("doc"),
+            "place",
+            F.size(tokens).alias("n"),
+            F.when(F.size(tokens) >= long, F.lit(True)).otherwise(by_chars).alias("long"),
+            *hashes,
+            *others,
+        )
+        named = [[F.col(f"{letter}{i}") for i in range(parts + 1)] for letter in "ho"]
+        keys = template_keys(named[0], F.col("n"), long, min_tokens, named[1] if check else None)
+        made = hashed.select("row", "doc", "place", "long", F.explode(keys).alias("key"))
+        return made.select("row", "doc", "place", "long", "key.key", "key.check") if check else made
+
+    counted = keyed(False).groupBy("key").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("times"), F.max("long").alias("long")
     )
     # only a necessary condition, which sorts out most lines before documents are counted
     recurs = (F.col("first") < F.col("last")) & (F.col("long") | (F.col("times") >= min_times_short))
-    met = cut(keyed.join(counted.where(recurs).select("key"), "key"))
+    met = cut(keyed(True).join(counted.where(recurs).select("key"), "key"))
     template = ["key", "check"]
     by_doc = met.groupBy(*template, "doc").agg(F.min(F.struct("row", "place")).alias("at"), F.max("long").alias("long"))
     needed = F.when(F.max("long"), F.lit(2)).otherwise(F.lit(min_times_short))
