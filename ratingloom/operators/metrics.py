@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratingloom.functions.numeric import (
@@ -292,3 +294,28 @@ def selected_metric(metrics: DataFrame, scope: str = "early_specification", spli
 def importance_rank(importance: DataFrame) -> DataFrame:
     """Features ranked by mean error increase within each model."""
     return with_rank(importance, ["-importance_mean_mae_increase"], ["model_name"], "importance_rank")
+
+
+def model_metadata(
+    ledger: DataFrame, splits: DataFrame, predicted: DataFrame, features: list[str], excluded: list[str], target: str,
+    parameters: dict | None = None,
+) -> DataFrame:
+    """What a training stage leaves behind, as one row: the selected model with its parameters, what it saw and what was
+    withheld from it, rows and years of each split, its test metrics and the range of its test predictions."""
+    chosen = selected_metric(ledger)
+    named = [F.lit(n) for n in sorted(excluded)]
+    parts = splits.agg(F.sort_array(F.collect_list(F.struct(*splits.columns)))).scalar()
+    span = prediction_range(predicted).select(F.struct("minimum", "maximum")).scalar()
+    settings = {k: v for k, v in (parameters or {}).items() if v is not None}
+    return chosen.select(
+        "model_name",
+        "model_scope",
+        "fit_period",
+        F.lit(target).alias("target"),
+        F.lit(json.dumps(settings, sort_keys=True)).alias("parameters"),
+        F.array(*[F.lit(n) for n in features]).alias("features"),
+        F.array(*named).alias("excluded_columns"),
+        parts.alias("splits"),
+        *[F.col(m).alias(f"test_{m}") for m in METRICS],
+        span.alias("prediction_range"),
+    )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratingloom.functions.numeric import any_of, outside, outside_band, safe_ratio
-from ratingloom.operators.joins import join_on_keys
+from ratingloom.operators.joins import join_on_keys, settled
 from ratingloom.operators.quantiles import ROWS, quantiles_of_counts, value_counts
 from ratingloom.sources import schema as S
 
@@ -106,9 +106,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, value, rows) for all named columns in one scan."""
+    """(column_name, value, rows) for all named columns in one scan, stored once for everything that is asked of them."""
     numbers = df.select(*[F.col(name).cast("double").alias(name) for name in columns])
-    return value_counts(numbers.unpivot([], columns, "column_name", "value"), "value", ["column_name"])
+    return settled(value_counts(numbers.unpivot([], columns, "column_name", "value"), "value", ["column_name"]))
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -259,3 +259,14 @@ def audit_report(raw: DataFrame, clean: DataFrame, raw_columns: list[str] | None
         F.array(*[F.lit(n) for n in S.LEAKY_COLUMNS]).alias("excluded_from_primary_model"),
         *[expr.alias(name) for name, expr in parts.items() if name != "clean_rows"],
     )
+
+
+def with_provenance(report: DataFrame, files: DataFrame, seconds: float, features: list[str]) -> DataFrame:
+    """The audit with the files it read (path, bytes, SHA-256), the seconds it took and what a model may see."""
+    read = files.agg(F.sort_array(F.collect_list(F.struct("file", "bytes", "sha256")))).scalar()
+    return report.select(
+        read.alias("source_files"),
+        F.lit(float(seconds)).alias("elapsed_seconds"),
+        F.array(*[F.lit(n) for n in features]).alias("features_of_primary_model"),
+        *report.columns,
+    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratingloom.operators.joins import join_on_keys
+from ratingloom.operators.joins import join_on_keys, settled
 from ratingloom.operators.ordering import running_totals
 
 ROWS = "rows"
@@ -65,5 +65,7 @@ def grouped_quantiles(
     probs: dict[str, float],
     keys: list[str] | tuple = (),
 ) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per group; groups without a known value are absent."""
-    return quantiles_of_counts(value_counts(df, value, keys), value, probs, keys)
+    """Exact interpolated quantiles of ``value`` per group; groups without a known value are absent.
+
+    The counts are stored before they are ranked, so the rows are read once."""
+    return quantiles_of_counts(settled(value_counts(df, value, keys)), value, probs, keys)

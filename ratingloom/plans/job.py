@@ -5,6 +5,7 @@ Every stage is a function of DataFrames; stages meet at Parquet tables, as do se
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,12 +15,12 @@ from ratingloom.operators.benchmarks import class_year_stats, group_summaries, m
 from ratingloom.operators.cleaning import clean_ratings, cleaning_log, split_exact_duplicates
 from ratingloom.operators.joins import settled
 from ratingloom.operators.ordering import natural_position, summary_position
-from ratingloom.operators.quality import audit_report, dq_checks, enforce
+from ratingloom.operators.quality import audit_report, dq_checks, enforce, with_provenance
 from ratingloom.operators.scenario import top_opportunities
 from ratingloom.plans import validation as V, views as W
 from ratingloom.sources import schema as S, writers as IO
 from ratingloom.sources.literals import data_dictionary, fuel_type_lookup, transmission_family_lookup
-from ratingloom.sources.readers import read_ratings
+from ratingloom.sources.readers import fingerprint, read_ratings
 
 
 @dataclass
@@ -46,15 +47,21 @@ def ingest(spark: SparkSession, csv: str, folder: str) -> DataFrame:
     return spark.read.schema(numbered.schema).parquet(f"{folder}/raw")
 
 
-def clean(spark: SparkSession, raw: DataFrame, folder: str, settings: Settings) -> DataFrame:
-    """Clean table, verified; the removed duplicates, the audit and the summaries are written beside it."""
+def clean(spark: SparkSession, raw: DataFrame, folder: str, settings: Settings, csv: str | None = None) -> DataFrame:
+    """Clean table, verified; the removed duplicates, the audit and the summaries are written beside it. The audit names
+    the files of ``csv`` with their digests, and the seconds from the start of the stage."""
+    started = time.time()
     _, removed = split_exact_duplicates(raw, list(S.COLUMN_MAP), "source_row_number")
     IO.export_csv(removed.orderBy("source_row_number"), f"{folder}/removed_exact_duplicates", single_file=False)
     cleaned = clean_ratings(raw, "source_row_number", settings.train_until, settings.validate_until)
     bad = (F.col("co2_emissions_g_km") <= 0) | (F.col("engine_size_l") <= 0) | (F.col("cylinders") <= 0)
     table = IO.load_table(cleaned, f"{folder}/clean", S.CLEAN_COLUMNS, "vehicle_id", bad)
     enforce(dq_checks(table, settings.first_year, settings.last_year))
-    IO.write_report(audit_report(raw, table), f"{folder}/data_audit_report")
+    audit = audit_report(raw, table)
+    if csv:
+        features = ML.NUMERIC_FEATURES + ML.CATEGORICAL_FEATURES
+        audit = with_provenance(audit, fingerprint(spark, csv), round(time.time() - started, 3), features)
+    IO.write_report(audit, f"{folder}/data_audit_report")
     IO.export_csv(cleaning_log(raw, list(S.COLUMN_MAP), "source_row_number"), f"{folder}/cleaning_log")
     IO.export_csv(data_dictionary(table).orderBy("position"), f"{folder}/data_dictionary")
     plain = {
@@ -96,12 +103,25 @@ def train(spark: SparkSession, table: DataFrame, folder: str, settings: Settings
             found.model, parts.test, features, "vehicle_id", found.selected_name, settings.repeats
         )
     kept(found.tuning, "model_tuning_results")
+    ledger = kept(found.metrics, "model_metrics")
+    IO.write_report(
+        M.model_metadata(
+            ledger,
+            M.split_summary(table, ML.TARGET, settings.train_until, settings.validate_until),
+            wide,
+            features,
+            S.LEAKY_COLUMNS,
+            ML.TARGET,
+            found.parameters if found.selected_name.startswith("Random Forest") else None,
+        ),
+        f"{folder}/model_metadata",
+    )
     return W.Tables(
         ratings=table,
         fuels=fuel_type_lookup(spark),
         transmissions=transmission_family_lookup(spark),
         predictions=wide.select(*M.PREDICTION_COLUMNS),
-        metrics=kept(found.metrics, "model_metrics"),
+        metrics=ledger,
         importance=kept(importance, "feature_importance"),
         segment_errors=kept(
             summary_position(errors, ["segment_type", "segment_value"], "segment_error_id"), "model_segment_errors"
@@ -151,7 +171,7 @@ def run(spark: SparkSession, csv: str, folder: str, settings: Settings | None =
     """All stages in order; returns the validation ledger."""
     settings = settings or Settings()
     raw = ingest(spark, csv, folder)
-    table = clean(spark, raw, folder, settings)
+    table = clean(spark, raw, folder, settings, csv)
     tables = train(spark, table, folder, settings)
     views = publish(spark, tables, folder)
     return validate(spark, raw, tables, views, folder, settings)

@@ -13,6 +13,7 @@ from ratingloom.plans import validation as V, views as W
 from ratingloom.session import scratch_path, stored
 from ratingloom.sources import writers as IO
 from ratingloom.sources.literals import fuel_type_lookup, transmission_family_lookup
+from ratingloom.sources.schema import LEAKY_COLUMNS
 from registry import tables as R
 from registry.catalog import query
 from registry.tables import (
@@ -500,6 +501,51 @@ def validation_report(spark, folder):
     )
 
 
+@query(
+    "model_metadata",
+    "model_name:s fit_period:s target:s features:s excluded:l train_records:l validation_records:l test_records:l "
+    f"{' '.join('test_' + m for m in METRIC_SHAPE.split())} lowest:d3 highest:d3",
+    f"""SELECT model_name, fit_period, '{TARGET}' AS target, 'vehicle_class,fuel_cons_city_l_100km' AS features,
+        {len(LEAKY_COLUMNS)} AS excluded, count_if(data_split = 'train') AS train_records,
+        count_if(data_split = 'validation') AS validation_records, count_if(data_split = 'test') AS test_records,
+        {", ".join(f"any_value({m.split(':')[0]}) AS test_{m.split(':')[0]}" for m in METRIC_SHAPE.split())},
+        min(predicted_co2_g_km) FILTER (data_split = 'test') AS lowest, max(predicted_co2_g_km) FILTER (data_split = 'test') AS highest
+        FROM (SELECT * EXCLUDE (model_name) FROM errors), (SELECT * FROM ledger WHERE split = 'test' AND eligible_for_selection = 1)
+        GROUP BY model_name, fit_period""",
+    (*ALL, VALIDATED, TESTED, LEDGER),
+)
+def model_metadata(spark, folder):
+    rows = stored_rows(spark, folder, SCORED_COLUMNS)
+    splits = M.split_summary(rows, TARGET, TRAIN_UNTIL, VALIDATE_UNTIL)
+    features = ["vehicle_class", "fuel_cons_city_l_100km"]
+    made = M.model_metadata(settled(ledger(spark, folder)), splits, R.errors(rows), features, LEAKY_COLUMNS, TARGET)
+
+    def records(split):
+        return F.filter("splits", lambda s: s["split"] == split)[0]["vehicle_records"].alias(f"{split}_records")
+
+    return made.select(
+        "*", F.size("excluded_columns").alias("excluded"), *map(records, ("train", "validation", "test")),
+        F.col("prediction_range.minimum").alias("lowest"), F.col("prediction_range.maximum").alias("highest"),
+    ).withColumn("features", F.array_join("features", ","))
+
+
+@query(
+    "lookup_upsert",
+    "p_partkey:l p_name:s p_size:l",
+    """SELECT p_partkey, CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END AS p_name, p_size FROM part
+       UNION ALL SELECT p_partkey + 1000000000, 'new ' || p_name, p_size FROM part WHERE p_size = 1""",
+)
+def lookup_upsert(spark, folder):
+    parts = R.table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
+    place = scratch_path(spark, "lookup")
+    IO.upsert_table(parts, place, "p_partkey")
+    changed = parts.where("p_size > 40").withColumn("p_name", F.upper("p_name"))
+    added = parts.where("p_size = 1").select(
+        (F.col("p_partkey") + 1_000_000_000).alias("p_partkey"), F.concat(F.lit("new "), "p_name").alias("p_name"), "p_size"
+    )
+    return IO.upsert_table(changed.unionByName(added), place, "p_partkey", F.col("p_size").isNull())
+
+
 @query("export_manifest", "file:s rows:l columns:l bytes:l sha256:s source:s")
 def export_manifest(spark, folder):
     tables = view_tables(spark, folder)

@@ -11,7 +11,7 @@ from ratingloom.plans import pages as P
 from registry import tables as R
 from registry.catalog import query
 from registry.reporting import MEANS, MEANS_SHAPE
-from registry.tables import PEERED, SINCE, TIE
+from registry.tables import PEERED, RATINGS, SINCE, TIE
 
 CUBE_KEYS = "model_year, vehicle_class, make, model, fuel_type"
 CUBE_SHAPE = "model_year:l vehicle_class:s make:s model:s fuel_type:s"
@@ -334,3 +334,31 @@ def latest_segment_labels(spark, folder):
     latest = latest_only(R.ratings(spark, folder), "model_year").withColumn("segment_type", F.lit("vehicle_class"))
     labelled = P.labelled_segments(latest)
     return labelled.groupBy("vehicle_class", "segment_label").agg(F.count(F.lit(1)).alias("records"))
+
+
+ENTITY_KEYS = ["model_year", "vehicle_class", "fuel_type"]
+
+
+@query(
+    "cube_distinct_parts",
+    "model_year:l distinct_parts:l",
+    f"SELECT model_year, count(DISTINCT l_partkey) AS distinct_parts FROM ratings WHERE {CHOSEN} GROUP BY model_year",
+    (RATINGS,),
+)
+def cube_distinct_parts(spark, folder):
+    cells = K.entity_cube(R.ratings(spark, folder), ENTITY_KEYS, "l_partkey")
+    return K.distinct_entities(CHOICE.apply(cells), ["model_year"], "distinct_parts")
+
+
+@query(
+    "segment_kpis_distinct",
+    "vehicle_configurations:l average_co2_g_km:d model_years:l distinct_entities:l",
+    f"""SELECT (SELECT sum(vehicle_records) FROM cube WHERE {CHOSEN}) AS vehicle_configurations,
+        (SELECT {weighted("average_co2_g_km")} FROM cube WHERE {CHOSEN}) AS average_co2_g_km,
+        count(DISTINCT model_year) AS model_years, count(DISTINCT l_suppkey) AS distinct_entities
+        FROM ratings WHERE {CHOSEN}""",
+    CUBE,
+)
+def segment_kpis_distinct(spark, folder):
+    cells = K.entity_cube(R.ratings(spark, folder), ENTITY_KEYS, "l_suppkey")
+    return K.segment_kpis(CHOICE.apply(segments(spark, folder)), CHOICE.apply(cells))

@@ -1,5 +1,6 @@
 """The whole job on a small generated file, its views through SQL, and the registry contract."""
 
+import hashlib
 import random
 
 import pytest
@@ -56,6 +57,13 @@ def test_artifacts(spark, run):
     assert len(manifest) == 9 and all(len(r.sha256) == 64 for r in manifest)
     audit = spark.read.json(str(folder / "data_audit_report")).first()
     assert (audit.source_rows, audit.validation_checks.clean_rows) == (361, 360)
+    source = (folder.parent / "ratings.csv").read_bytes()
+    assert [(f.file, f.bytes, f.sha256) for f in audit.source_files] == [("ratings.csv", len(source), hashlib.sha256(source).hexdigest())]
+    assert audit.elapsed_seconds > 0 and "make" in audit.features_of_primary_model
+    metadata = spark.read.json(str(folder / "model_metadata")).first()
+    assert sorted(metadata.excluded_columns) == sorted(S.LEAKY_COLUMNS) and len(metadata.features) == 8
+    assert {s.split: s.vehicle_records for s in metadata.splits}["development"] + {s.split: s.vehicle_records for s in metadata.splits}["test"] == 360
+    assert metadata.prediction_range.minimum <= metadata.prediction_range.maximum and metadata.test_mae > 0
     trend = spark.read.option("header", True).csv(str(folder / "exports" / "yearly_trend")).collect()
     assert [r.model_year for r in trend] == [str(y) for y in range(1995, 2024)]
 
