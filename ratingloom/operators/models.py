@@ -447,15 +447,18 @@ def leaky_diagnostic(
 
 
 def _scrambled(spot: Column, bits: int, *seeds: Column) -> Column:
-    """A keyed bijection of 0 .. 2^bits - 1: a Feistel network whose halves may differ by one bit."""
+    """A keyed bijection of 0 .. 2^bits - 1: a Feistel network whose halves may differ by one bit. The number of rounds is
+    even, so that the halves end as wide as they began."""
     left, right = bits // 2, bits - bits // 2
-    for number in range(ROUNDS):
-        # (high half of ``left`` bits, low half of ``right`` bits): the low half becomes the high one
-        high, low = F.shiftright(spot, right), spot.bitwiseAND(F.lit((1 << right) - 1))
-        mixed = F.xxhash64(*seeds, F.lit(number), low).bitwiseAND(F.lit((1 << left) - 1))
-        spot = F.shiftleft(low, left) + high.bitwiseXOR(mixed)
-        left, right = right, left
-    return spot
+    even, odd = (F.lit((1 << width) - 1).cast("long") for width in (left, right))
+
+    def turned(halves: Column, number: Column) -> Column:
+        mixed = F.xxhash64(*seeds, number, halves["low"]).bitwiseAND(F.when(number % 2 == 0, even).otherwise(odd))
+        return F.struct(halves["low"].alias("high"), halves["high"].bitwiseXOR(mixed).alias("low"))
+
+    halves = F.struct(F.shiftright(spot, right).alias("high"), spot.bitwiseAND(odd).alias("low"))
+    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    return F.aggregate(rounds, halves, turned, lambda at: F.shiftleft(at["high"], right) + at["low"])
 
 
 def permuted(spot: Column, rows: int, *seeds: Column) -> Column:
