@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratingloom.functions.numeric import clip_lower, decimal_mean, flag, half_even, relative_change, safe_ratio
 from ratingloom.operators.joins import join_on_keys, latest_only
 from ratingloom.operators.ordering import order_columns, summary_rank
-from ratingloom.operators.quantiles import grouped_quantiles, value_counts, quantiles_of_counts
+from ratingloom.operators.quantiles import grouped_quantiles
 
 EMISSIONS = "co2_emissions_g_km"
 COMBINED = "fuel_cons_comb_l_100km"
@@ -156,8 +156,7 @@ def class_year_stats(fact: DataFrame) -> DataFrame:
     """Class-year averages with median and lower quartile recomputed, highest average first."""
     keys = ["model_year", "vehicle_class"]
     fact = fact.dropna(subset=keys)
-    counts = value_counts(fact, EMISSIONS, keys)
-    spread = quantiles_of_counts(counts, EMISSIONS, {"median_co2_g_km": 0.5, "p25_co2_g_km": 0.25}, keys)
+    spread = grouped_quantiles(fact, EMISSIONS, {"median_co2_g_km": 0.5, "p25_co2_g_km": 0.25}, keys)
     summary = fact.groupBy(*keys).agg(records(), *_plain_means())
     return join_on_keys(summary, spread, keys).orderBy(
         *order_columns(["model_year", "-average_co2_g_km", "vehicle_class"])

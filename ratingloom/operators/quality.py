@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratingloom.functions.numeric import any_of, outside, outside_band, safe_ratio
-from ratingloom.operators.joins import join_on_keys, settled
+from ratingloom.operators.joins import join_on_keys
 from ratingloom.operators.quantiles import ROWS, quantiles_of_counts, value_counts
+from ratingloom.session import stored
 from ratingloom.sources import schema as S
 
 CONSUMPTION = ["fuel_cons_city_l_100km", "fuel_cons_hwy_l_100km", "fuel_cons_comb_l_100km"]
@@ -108,7 +109,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def _column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, rows) for all named columns in one scan, stored once for everything that is asked of them."""
     numbers = df.select(*[F.col(name).cast("double").alias(name) for name in columns])
-    return settled(value_counts(numbers.unpivot([], columns, "column_name", "value"), "value", ["column_name"]))
+    counts = value_counts(numbers.unpivot([], columns, "column_name", "value"), "value", ["column_name"])
+    return stored(counts, "column-counts")
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -99,6 +99,55 @@ def test_global_quantile(skewed):
     assert found.p == pytest.approx(np.quantile([r.v for r in skewed.collect()], 0.9))
 
 
+@pytest.mark.parametrize("at_once, cuts", [(1, 2), (3, 4), (20, 1_024)])
+def test_quantiles_are_narrowed_down_in_passes(spark, monkeypatch, at_once, cuts):
+    monkeypatch.setattr(Q, "AT_ONCE", at_once)
+    monkeypatch.setattr(Q, "CUTS", cuts)
+    rng = random.Random(3)
+    groups = {
+        "even": [rng.gauss(0, 1) for _ in range(300)],
+        "far": [1e308, -1e308, 0.0, 0.0, *[1 + i * 1e-9 for i in range(60)]],
+        "tied": [2.0] * 500 + [float(i) for i in range(30)],
+        "endless": [float("-inf"), float("-inf"), 1.0, 2.0, 3.0, 4.0, 5.0, float("inf")],
+        None: [5.0, 7.0],
+    }
+    probs = {"p0": 0.0, "p25": 0.25, "median": 0.5, "p90": 0.9}
+    df = spark.createDataFrame([(k, v) for k, items in groups.items() for v in items], "k string, v double")
+    found = {r.k: r for r in Q.grouped_quantiles(df.repartition(5), "v", probs, ["k"]).collect()}
+    assert set(found) == set(groups)
+    for key, items in groups.items():
+        for name, p in probs.items():
+            at, ordered = (len(items) - 1) * p, sorted(items)
+            low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            if np.isfinite(low) and np.isfinite(high):
+                assert found[key][name] == pytest.approx(low + (high - low) * (at - np.floor(at)), rel=1e-12), (key, name)
+    whole = [v for k, items in groups.items() if k != "endless" for v in items]
+    number = df.where("k is null or k != 'endless'").select(F.round(F.col("v") / 1e300).cast("long").alias("v"))
+    assert Q.grouped_quantiles(number, "v", {"m": 0.5}).first().m == np.quantile([round(v / 1e300) for v in whole], 0.5)
+
+
+def test_orders_of_mixed_direction_with_nulls_and_nan(spark):
+    rng = random.Random(5)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([None, float("nan"), 1.0, 2.0, -3.5])) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, s string, x double").repartition(5)
+    for order in (["s", "-x", "id"], ["-s", "x", "-id"], ["-x", "s", "id"]):
+        wanted = df.withColumn("position", F.row_number().over(Window.orderBy(*O.order_columns(order))))
+        assert pairs(O.row_position(df, order), "id", "position") == pairs(wanted, "id", "position")
+
+
+def test_ties_and_empty_frames(spark):
+    tied = spark.createDataFrame([("a", 1)] * 90 + [("b", 1)] * 10, "k string, v int").repartition(6)
+    found = O.row_position(tied, ["v"], ["k"])
+    assert pairs(found, "k", "position") == pairs(
+        spark.createDataFrame([("a", i) for i in range(1, 91)] + [("b", i) for i in range(1, 11)], "k string, position long"), "k", "position"
+    )
+    none = tied.where("v > 1")
+    assert O.row_position(none, ["v"]).count() == 0
+    assert O.with_rank(none, ["v"], ["k"]).count() == 0
+    assert Q.grouped_quantiles(none, "v", {"m": 0.5}, ["k"]).count() == 0
+    assert Q.grouped_quantiles(none, "v", {"m": 0.5}).first().m is None
+
+
 def test_dense_key_of_sparse_and_dense_ids(spark):
     for ids in (range(50), [i * 7_919_000_003 for i in range(50)]):
         df = spark.createDataFrame([(i,) for i in ids], "n long").repartition(5)
