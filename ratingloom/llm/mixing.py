@@ -7,7 +7,8 @@ taken stay near the target and not only the number of copies. Groups of about ``
 one open unit to the next level, so the levels form a tree of fan-in ``GROUP`` whatever the number of rows.
 
 Nulls and odd rows: a null source is a source of its own, last in order; a null text has size 0; documents of size 0
-take 0 words and no part in the rounding; repeated rows are units of their own; a table without words has targets 0.
+take 0 words and no part in the rounding; repeated rows are units of their own, counted first and then numbered, so that
+they spread over groups like other rows; a table without words has targets 0.
 Draws are hashes of seed and ids, so reruns agree.
 """
 
@@ -21,6 +22,8 @@ GROUP = 64
 CAP = 3
 WEIGHTS = (5, 2, 1)
 SEED = 20_011
+# repeats of one row that are numbered together
+BLOCK = 10_000
 _EDGE = 1e-12
 
 
@@ -53,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     )
 
 
-_UNIT = "struct<size:bigint,doc_id:bigint,p:double>"
+_UNIT = "struct<size:bigint,doc_id:bigint,copy:bigint,p:double>"
 _DONE = "array<struct<size:bigint,doc_id:bigint,extra:bigint>>"
 
 
@@ -61,7 +64,7 @@ def _folded(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """One row per group: ``open`` goes on to the next level, ``done`` holds the decided units."""
 
     def unit(of: Column, p: Column) -> Column:
-        return F.struct(of["size"].alias("size"), of["doc_id"].alias("doc_id"), p.alias("p"))
+        return F.struct(*[of[name].alias(name) for name in ("size", "doc_id", "copy")], p.alias("p"))
 
     def decided(of: Column, extra: Column) -> Column:
         return F.struct(of["size"].alias("size"), of["doc_id"].alias("doc_id"), extra.cast("long").alias("extra"))
@@ -69,7 +72,7 @@ def _folded(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
     def meet(state: Column, x: Column) -> Column:
         a = state["open"]
         total = a["p"] + x["p"]
-        draw = uniform(seed, a["doc_id"], a["size"], x["doc_id"], x["size"])
+        draw = uniform(seed, *[side[name] for side in (a, x) for name in ("doc_id", "size", "copy")])
         over = total >= 1
         # below 1 the survivor holds all mass and the other gets 0; from 1 on the other gets 1 and the survivor the rest
         x_goes_on = F.when(over, draw * (2 - total) < 1 - x["p"]).otherwise(draw * total >= a["p"])
@@ -81,19 +84,33 @@ def _folded(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
         first = F.struct(unit(x, x["p"]).alias("open"), state["done"].alias("done"))
         return F.when(a.isNull(), first).otherwise(met)
 
-    grouped = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("size", "doc_id", "p"))).alias("__units"))
+    grouped = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("size", "doc_id", "copy", "p"))).alias("__units"))
     start = F.struct(F.lit(None).cast(_UNIT).alias("open"), F.array().cast(_DONE).alias("done"))
     return grouped.select(*keys, F.aggregate("__units", start, meet).alias("__state")).select(
         *keys, F.col("__state.open").alias("open"), F.col("__state.done").alias("done")
     )
 
 
+def _numbered(units: DataFrame, block: int) -> DataFrame:
+    """Rows with the number ``copy`` that tells repeats apart.
+
+    Repeats are counted before they move, so a row that stands in a third of the table is one row on the wire; its count
+    is dealt in blocks and each block numbers its own. The numbers do not depend on where the rows lie.
+    """
+    same = units.columns
+    counted = units.groupBy(*same).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(block).cast("long"))))
+    dealt = dealt.repartition("doc_id", "size", "__from")
+    last = F.least(F.col("__from") + block, F.col("__n")) - 1
+    return dealt.select(*same, F.explode(F.sequence("__from", last)).alias("copy"))
+
+
 def _extras(units: DataFrame, group: int, seed: int) -> DataFrame:
     """(source, doc_id, size, extra) with extra 0 or 1 for rows (source, doc_id, size, p) with p between 0 and 1."""
-    sized = units.withColumn("__class", F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
+    sized = _numbered(units, BLOCK).withColumn("__class", F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
     counts = cut(sized.groupBy("source", "__class").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).alias("__groups")))
     placed = with_small(sized, counts, ["source", "__class"]).withColumn(
-        "__group", F.pmod(F.xxhash64("doc_id", "size"), F.col("__groups"))
+        "__group", F.pmod(F.xxhash64("doc_id", "size", "copy"), F.col("__groups"))
     )
     levels, level, keys = [], 0, ["source", "__class", "__group"]
     while True:
@@ -105,11 +122,11 @@ def _extras(units: DataFrame, group: int, seed: int) -> DataFrame:
         if most <= 1:
             break
         placed = with_small(waiting, counts, ["source"]).withColumn(
-            "__group", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("__n") / F.lit(group)))
+            "__group", F.pmod(F.xxhash64("doc_id", "size", "copy"), F.ceil(F.col("__n") / F.lit(group)))
         )
         level += 1
     last = waiting.select(
-        "source", "size", "doc_id", (uniform(seed - 1, F.col("doc_id"), F.col("size")) < F.col("p")).cast("long").alias("extra")
+        "source", "size", "doc_id", (uniform(seed - 1, F.col("doc_id"), F.col("size"), F.col("copy")) < F.col("p")).cast("long").alias("extra")
     )
     for part in levels:
         last = last.unionByName(part.select("source", "size", "doc_id", "extra"))

@@ -63,6 +63,30 @@ def test_mix_of_odd_rows(edge_docs):
     assert mixing.mix_sources(edge_docs.limit(0)).count() == 0
 
 
+def test_mix_spreads_repeats_of_one_row(docs_of, monkeypatch):
+    """Repeats are numbered over several blocks, and a mix of them comes as near its target as one of distinct rows."""
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    rows = [(None, "a b c", "hot")] * 700 + [(5, "a b c d", "hot")] * 300 + [(i, "u v w", "cold") for i in range(100, 500)]
+    df = docs_of(*rows)
+    mixed = mixing.mix_sources(df, group=8).collect()
+    assert Counter(r.doc_id for r in mixed) == Counter(r[0] for r in rows)
+    for source in ("hot", "cold"):
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8
+    again = mixing.mix_sources(df.repartition(3), group=8).collect()
+    assert sorted(map(str, mixed)) == sorted(map(str, again))
+    units = df.selectExpr("source", "doc_id", "cast(3 as long) size", "0.5 p")
+    numbers = {k: sorted(r.copy for r in g) for k, g in _by_id(mixing._numbered(units, 100).collect()).items()}
+    assert numbers[None] == list(range(700)) and numbers[5] == list(range(300)) and numbers[100] == [0]
+
+
+def _by_id(rows):
+    found = {}
+    for row in rows:
+        found.setdefault(row.doc_id, []).append(row)
+    return found
+
+
 # --- chat --------------------------------------------------------------------------------------------
 
 
