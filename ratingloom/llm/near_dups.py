@@ -139,12 +139,11 @@ def confirmed(sets: list[np.ndarray], packed: np.ndarray, side: np.ndarray, perc
 def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int) -> DataFrame:
     """(doc_id, n, digest, bands, packed) per row of (doc_id, text); digest, bands and packed are null for empty sets."""
 
-    @F.pandas_udf("struct<n:long,digest:binary,bands:array<long>,packed:binary>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks = mixed(np.arange(1, bands + 1, dtype=np.uint64))
-        for texts in batches:
-            out = {"n": [], "digest": [], "bands": [], "packed": []}
-            for text in texts:
+        for batch in batches:
+            out = {"doc_id": batch["doc_id"], "n": [], "digest": [], "bands": [], "packed": []}
+            for text in batch["text"]:
                 values = shingle_set(text, shingle)
                 out["n"].append(len(values))
                 if len(values):
@@ -160,7 +159,10 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int) ->
                         out[name].append(None)
             yield pd.DataFrame(out)
 
-    return docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
+    # ids travel as text, since pandas has no long with nulls
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    made = named.mapInPandas(sketch, "doc_id string, n long, digest binary, bands array<long>, packed binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _families(classes: DataFrame) -> DataFrame:
