@@ -3,10 +3,17 @@
 A document is the set of its distinct ``shingle``-word shingles. Documents with equal sets are one class, named by the
 smallest id. Each class has ``bands * rows`` minima; bands of ``rows`` minima make the candidates, and the low ``bits`` of
 all minima, packed, estimate similarity: the share of equal groups of bits, counted on the XOR of two signatures and
-corrected for chance collisions. Classes that meet in a band, directly or through others, form a family. Families are cut
-into blocks of bounded shingle count and every pair of blocks is one group: pairs that the estimate leaves open and that
-are not yet connected are confirmed on full sets, and the group returns one row per member, not per pair. The components
-of those rows are the result. Bands have no cap.
+corrected for chance collisions. Classes that meet in a band, directly or through others, form a family. Bands have no cap.
+
+Families are cut into blocks of bounded shingle and member count. Pairs that the estimate leaves open and that are not yet
+connected are confirmed on full sets, in three passes that return one row per member, not per pair:
+
+1. each block by itself, so that every text moves once; a family of one block is done;
+2. of each band whose members are not one component, the smallest member of each component;
+3. the members of bands that are still not one component, every pair of their blocks.
+
+A large family of true copies is connected by the first two passes, which are linear; the third sees only unlike members
+that met in a band by chance or through a shared passage. The components of all rows are the result.
 
 A pair at the threshold misses all bands with probability (1 - 0.85^4)^32 < 1e-10, and fails the estimate, set
 ``MARGIN`` standard deviations low, with less than 1e-6.
@@ -26,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ratingloom.llm.components import components
-from ratingloom.llm.store import cut, on_workers
+from ratingloom.llm.store import cut, on_workers, spread_join
 from ratingloom.llm.words import lower_words, mixed, word_hashes
 
 SHINGLE = 5
@@ -36,6 +43,7 @@ ROWS = 4
 BITS = 4
 MARGIN = 5.0
 BLOCK_SHINGLES = 400_000
+BLOCK_MEMBERS = 2_000
 SEED = 99
 
 
@@ -104,9 +112,17 @@ class Links:
         self.root[max(a, b)] = min(a, b)
 
 
-def confirmed(sets: list[np.ndarray], packed: np.ndarray, side: np.ndarray, percent: int, bits: int, least: float) -> np.ndarray:
-    """Root of each member: pairs across sides (within, if all sides are equal) whose full sets meet the threshold."""
+def confirmed(
+    sets: list[np.ndarray], packed: np.ndarray, side: np.ndarray, known: np.ndarray, percent: int, bits: int, least: float
+) -> np.ndarray:
+    """Root of each member: pairs across sides (within, if all sides are equal) whose full sets meet the threshold.
+
+    Members of one ``known`` component are linked from the start.
+    """
     n, links = len(sets), Links(len(sets))
+    first = np.unique(known, return_index=True, return_inverse=True)
+    for i, j in enumerate(first[1][first[2]].tolist()):
+        links.join(i, j)
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -165,25 +181,37 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int) ->
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _families(classes: DataFrame) -> DataFrame:
-    """(node, root): classes that share a band with another, directly or through others."""
-    keys = classes.select("rep", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    edges = keys.join(shared.select("band", "lead"), "band").where("rep <> lead")
+def _mixed_bands(members: DataFrame) -> DataFrame:
+    """(rep, component, band, lead): members (rep, component, bands) by bands that hold more than one component."""
+    keys = members.select("rep", "component", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("lead"), F.count(F.lit(1)).alias("times")
+    )
+    return spread_join(keys, cut(shared.where("low < high").select("band", "lead", "times")), "band", "times")
+
+
+def _families(met: DataFrame) -> DataFrame:
+    """(node, root): members that share a band of ``met`` with another, directly or through others."""
+    edges = met.where("rep <> lead")
     return components(edges.select(F.col("rep").alias("u"), F.col("lead").alias("v")))
 
 
-def _groups(members: DataFrame, block_shingles: int) -> DataFrame:
-    """Members with ``bin``, ``block`` and the pair of blocks each copy belongs to."""
-    sized = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("blocks"))
+def _blocks(members: DataFrame, block_shingles: int, block_members: int) -> DataFrame:
+    """Members (rep, family, n, ...) with ``bin``, ``block`` and the number of ``blocks`` of their family."""
+    by_size = F.ceil(F.sum("n") / F.lit(block_shingles))
+    by_count = F.ceil(F.count(F.lit(1)) / F.lit(block_members))
+    sized = members.groupBy("family").agg(F.greatest(by_size, by_count).cast("int").alias("blocks"))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(1, total // block_shingles)
-    placed = members.join(sized, "family")
     # families of one block share bins, so that thousands of pairs do not make thousands of groups
     bin_ = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(-1 - F.abs(F.col("family")))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    with_block = placed.withColumn("bin", bin_).withColumn("block", block)
-    partner = with_block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.join(sized, "family").withColumn("bin", bin_).withColumn("block", block)
+
+
+def _paired(placed: DataFrame) -> DataFrame:
+    """One row of a member for each block of its family; ``low`` and ``high`` name the pair of blocks."""
+    partner = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return partner.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
 
@@ -195,6 +223,7 @@ def near_duplicates(
     rows: int = ROWS,
     bits: int = BITS,
     block_shingles: int = BLOCK_SHINGLES,
+    block_members: int = BLOCK_MEMBERS,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -210,15 +239,11 @@ def near_duplicates(
         F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands", "packed"), "doc_id").alias("s")
     )
     classes = cut(classes.select("digest", "rep", "s.*"))
-    families = cut(_families(classes))
-    inside = classes.join(families, classes["rep"] == families["node"]).select(
-        "rep", F.col("root").alias("family"), "n", "packed", "digest"
-    )
-    grouped = _groups(cut(inside), block_shingles)
-    # an id with several texts is met by each of them; its classes carry the same name. Texts move once, by id
+    families = cut(_families(_mixed_bands(classes.withColumn("component", F.col("rep")))))
+    inside = cut(classes.join(families, classes["rep"] == families["node"]).drop("node", "digest").withColumnRenamed("root", "family"))
+    # an id with several texts is met by each of them; its classes carry the same name
     wanted = families.select(F.col("node").alias("doc_id"))
     picked = texts.where("text is not null").join(wanted, "doc_id", "left_semi").distinct()
-    with_text = grouped.join(picked, F.col("rep") == F.col("doc_id")).drop("doc_id")
     least = floor_estimate(percent, bands * rows, bits)
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
@@ -228,13 +253,35 @@ def near_duplicates(
                 continue
             sets = [shingle_set(t, shingle) for t in family["text"]]
             packed = np.array([np.frombuffer(p, np.uint64) for p in family["packed"]])
-            root = confirmed(sets, packed, family["block"].to_numpy(), percent, bits, least)
+            root = confirmed(sets, packed, family["block"].to_numpy(), family["component"].to_numpy(), percent, bits, least)
             reps = family["rep"].to_numpy()
             ids += reps.tolist()
             roots += reps[root].tolist()
         return pd.DataFrame({"u": ids, "v": roots})
 
-    links = with_text.groupBy("bin", "low", "high").applyInPandas(linked, "u long, v long")
+    def links_of(dealt: DataFrame, *keys: str) -> DataFrame:
+        fields = dealt.select("rep", "family", "packed", "component", "block", *keys)
+        with_text = fields.join(picked, F.col("rep") == F.col("doc_id")).drop("doc_id")
+        return with_text.groupBy(*keys).applyInPandas(linked, "u long, v long")
+
+    def after(links: DataFrame) -> DataFrame:
+        """Members of the families of several blocks, with their components by ``links``."""
+        found = components(links).withColumnRenamed("node", "rep").withColumnRenamed("root", "component")
+        met = wide.drop("component").join(found, "rep", "left")
+        return cut(met.withColumn("component", F.coalesce("component", "rep")))
+
+    placed = cut(_blocks(inside.withColumn("component", F.col("rep")), block_shingles, block_members))
+    links = cut(links_of(placed, "bin", "block"))
+    wide = placed.where("blocks > 1").select("rep", "family", "n", "bands", "packed", "component")
+    if not wide.isEmpty():
+        now = after(links)
+        least_of = _mixed_bands(now).groupBy("band", "component").agg(F.min("rep").alias("rep")).select("rep").distinct()
+        speakers = cut(_blocks(now.join(least_of, "rep", "left_semi"), block_shingles, block_members))
+        links = cut(links.unionByName(links_of(speakers, "bin", "block")))
+        now = after(links)
+        apart = cut(_families(_mixed_bands(now)))
+        rest = now.drop("family").join(apart, now["rep"] == apart["node"]).drop("node").withColumnRenamed("root", "family")
+        links = links.unionByName(links_of(_paired(_blocks(cut(rest), block_shingles, block_members)), "bin", "low", "high"))
     found = components(links)
     reps = classes.select("digest", "rep")
     met = sketched.join(reps, "digest", "left").join(found, F.col("rep") == F.col("node"), "left")
@@ -249,11 +296,11 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document of each group, columns as they came; repeats of a kept row stay, see ``drop_repeats``."""
+    """``docs`` with one document of each group as one row, columns as they came; see ``drop_repeats``."""
     found = near_duplicates(docs, **parameters)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return packed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    return drop_repeats(packed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
