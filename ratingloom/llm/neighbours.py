@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratingloom.llm.store import cut, on_workers, with_small
 
 K = 10
-PROJECTIONS = 12
-STOP = 0.98
+PROJECTIONS = 20
+STOP = 0.90
 SAMPLE = 20_000
 CELL_ROWS = 25_000
 BLOCK = 512
