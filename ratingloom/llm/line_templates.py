@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratingloom.llm.store import cut
+from ratingloom.llm.store import cut, spread_join
 
 DEPTH = 3
 PARTS = 4
@@ -92,15 +92,21 @@ def dropped_lines(docs: DataFrame, min_times_short: int, min_tokens: int, depth:
     )
     # only a necessary condition, which sorts out most lines before documents are counted
     recurs = (F.col("first") < F.col("last")) & (F.col("long") | (F.col("times") >= min_times_short))
-    met = cut(keyed(True).join(counted.where(recurs).select("key"), "key"))
+    frequent = cut(counted.where(recurs).select("key", "times"))
+    met = cut(spread_join(keyed(True), frequent, "key", "times"))
     template = ["key", "check"]
-    by_doc = met.groupBy(*template, "doc").agg(F.min(F.struct("row", "place")).alias("at"), F.max("long").alias("long"))
+    by_doc = met.groupBy(*template, "doc").agg(
+        F.min(F.struct("row", "place")).alias("at"), F.max("long").alias("long"), F.count(F.lit(1)).alias("times")
+    )
     needed = F.when(F.max("long"), F.lit(2)).otherwise(F.lit(min_times_short))
     templates = by_doc.groupBy(*template).agg(
-        (F.count(F.lit(1)) >= needed).alias("recurs"), F.min(F.struct("doc", "at")).getField("at").alias("at")
+        (F.count(F.lit(1)) >= needed).alias("recurs"),
+        F.min(F.struct("doc", "at")).getField("at").alias("at"),
+        F.sum("times").alias("times"),
     )
-    kept = templates.where("recurs").select(*template, "at")
-    later = met.join(kept, template).where(F.struct("row", "place") != F.col("at"))
+    kept = cut(templates.where("recurs").select(F.struct(*template).alias("template"), "at", "times"))
+    named = met.select("row", "place", F.struct(*template).alias("template"))
+    later = spread_join(named, kept, "template", "times").where(F.struct("row", "place") != F.col("at"))
     return later.groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
