@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratingloom.llm import components, katz, near_dups, neighbours, pii, store, token_counts, toxicity
+from ratingloom.llm import components, katz, near_dups, neighbours, pii, token_counts, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = tokenizers.path("piece_bpe_32k.model")
@@ -120,11 +120,9 @@ def test_components_equal_brute_force(docs_of, size, percent, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-@pytest.mark.parametrize("hot", [1_000, 3])
-def test_families_of_many_blocks(docs_of, monkeypatch, hot):
-    """Bands of one row let unlike documents meet, so that families of many small blocks go through all three passes."""
-    monkeypatch.setattr(store, "HOT_KEYS", hot)
-    rng = random.Random(hot)
+def test_families_of_many_blocks(docs_of):
+    """Bands of one row let unlike documents meet in families of many small blocks."""
+    rng = random.Random(3)
     made, docs = [f"w{i}" for i in range(300)], []
     shared = [rng.choice(made) for _ in range(40)]
     for _ in range(9):
@@ -132,7 +130,7 @@ def test_families_of_many_blocks(docs_of, monkeypatch, hot):
         for copy in range(12):
             edited = [rng.choice(made) if rng.random() < 0.005 * (copy % 7) else w for w in words]
             docs.append((500 - len(docs), " ".join(edited)))
-    found = near_dups.near_duplicates(docs_of(*docs), shingle=3, percent=85, bands=32, rows=1, block_members=5)
+    found = near_dups.near_duplicates(docs_of(*docs), shingle=3, percent=85, bands=32, rows=1, block_shingles=500)
     rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
     assert rows == brute_components(docs, 3, 85)
     assert 9 <= len({c for _, _, c in rows}) < len(docs)
