@@ -12,9 +12,6 @@ from ratingloom.session import shared_folder
 # a side of at most so many rows may be broadcast; counted, not estimated
 SMALL_ROWS = 100_000
 
-# a key that holds more than this part of all rows is hot; there are fewer than HOT_KEYS such keys, whatever the input
-HOT_KEYS = 1_000
-
 # white space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,22 +50,6 @@ def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(renamed, condition, how).drop(*[f"__k_{c}" for c in on])
 
 
-def spread_join(big: DataFrame, counted: DataFrame, on: str, rows: str) -> DataFrame:
-    """Inner join with one row per key, where a hot key of ``big`` is dealt over many tasks.
-
-    ``counted`` should be cut, since it is read several times; its column ``rows``, how often ``big`` has the key, is not
-    returned. A hot key, of more than 1 / ``HOT_KEYS`` of all those rows, is cut into pieces of that size by a hash of the
-    row, and its row in ``counted`` is copied to each piece; other keys have one piece. Rows of ``big`` should differ.
-    """
-    total = counted.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    pieces = F.ceil(F.col(rows) * F.lit(HOT_KEYS) / F.lit(max(total, 1))).cast("int")
-    hot = F.broadcast(counted.where(pieces > 1).select(F.col(on).alias("__hot"), pieces.alias("__pieces")))
-    piece = F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("__pieces")), F.lit(0)).cast("int")
-    dealt = big.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__piece", piece).drop("__hot", "__pieces")
-    copies = counted.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop(rows)
-    return dealt.join(copies, [on, "__piece"]).drop("__piece")
-
-
 def lowered(text: Column) -> Column:
     """A-Z to lower case, every other character as it is."""
     ascii_only = ~text.rlike(r"[^\x00-\x7F]")
