@@ -15,7 +15,7 @@ from ratingloom.functions.numeric import (
     safe_ratio,
 )
 from ratingloom.operators.joins import join_eval, join_on_keys, with_one_row
-from ratingloom.operators.ordering import order_columns, top_n, with_cume_dist, with_rank
+from ratingloom.operators.ordering import order_columns, summary_rank, top_n, with_cume_dist
 from ratingloom.operators.quantiles import ROWS, grouped_quantiles, value_counts
 from ratingloom.sources import schema as S
 
@@ -292,8 +292,12 @@ def selected_metric(metrics: DataFrame, scope: str = "early_specification", spli
 
 
 def importance_rank(importance: DataFrame) -> DataFrame:
-    """Features ranked by mean error increase within each model."""
-    return with_rank(importance, ["-importance_mean_mae_increase"], ["model_name"], "importance_rank")
+    """Features ranked by mean error increase within each model.
+
+    The frame is read once: a mean of doubles that is computed again may differ in its last digit, so ranks must not be
+    joined back by it.
+    """
+    return summary_rank(importance, ["-importance_mean_mae_increase"], ["model_name"], "importance_rank")
 
 
 def model_metadata(
