@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratingloom.functions.numeric import clip_lower, decimal_mean, flag, half_even, relative_change, safe_ratio
-from ratingloom.operators.joins import join_on_keys, latest_only
+from ratingloom.operators.joins import join_on_keys, join_summary, latest_only
 from ratingloom.operators.ordering import order_columns, summary_rank
 from ratingloom.operators.quantiles import grouped_quantiles
 
@@ -19,6 +21,13 @@ def records() -> Column:
     return F.count(F.lit(1)).alias("vehicle_records")
 
 
+def known_keys(keys: list[str]) -> Column:
+    """Rows of a group whose keys are all known. A filter on this count stays above the grouping; one on the keys would be
+    pushed down to the scan, where it repeats for every row all that the keys are made of."""
+    unknown = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
+    return F.count(F.when(~unknown, F.lit(1))).alias("__known")
+
+
 def peer_benchmark(
     df: DataFrame,
     keys: list[str],
@@ -27,8 +36,8 @@ def peer_benchmark(
 ) -> DataFrame:
     """Median and lower quartile of the peers on every row, with the distances to them.
 
-    A row with an unknown key has no peers. The peer table holds one row per group; adaptive execution broadcasts it when
-    it turns out small, otherwise the join shuffles and skewed groups are split.
+    A row with an unknown key has no peers. The peer table holds one row per group; it is broadcast when it is small,
+    otherwise the join shuffles and skewed groups are split.
     """
     stats = grouped_quantiles(df, value, {"__median": 0.5, "__p25": 0.25}, keys)
     kind = f"decimal(18,{scale})"
@@ -38,7 +47,7 @@ def peer_benchmark(
         half_even("__p25", scale).cast(kind).alias("class_year_co2_p25"),
     )
     number = F.col(value).cast(kind)
-    return join_on_keys(df, peers, keys).withColumns(
+    return join_summary(df, peers, keys).withColumns(
         {
             "co2_vs_class_year_median": (number - F.col("class_year_co2_median")).cast(kind),
             "co2_gap_to_class_p25": clip_lower(number - F.col("class_year_co2_p25")).cast(kind),
@@ -155,10 +164,10 @@ def yearly_summary(fact: DataFrame, base: int = 1995) -> DataFrame:
 def class_year_stats(fact: DataFrame) -> DataFrame:
     """Class-year averages with median and lower quartile recomputed, highest average first."""
     keys = ["model_year", "vehicle_class"]
-    fact = fact.dropna(subset=keys)
     spread = grouped_quantiles(fact, EMISSIONS, {"median_co2_g_km": 0.5, "p25_co2_g_km": 0.25}, keys)
-    summary = fact.groupBy(*keys).agg(records(), *_plain_means())
-    return join_on_keys(summary, spread, keys).orderBy(
+    summary = fact.groupBy(*keys).agg(records(), *_plain_means(), known_keys(keys))
+    known = summary.where(F.col("__known") > 0).drop("__known")
+    return join_on_keys(known, spread, keys).orderBy(
         *order_columns(["model_year", "-average_co2_g_km", "vehicle_class"])
     )
 
@@ -184,7 +193,8 @@ def make_benchmark(fact: DataFrame) -> DataFrame:
 def make_year_summary(fact: DataFrame) -> DataFrame:
     """Unrounded make-year averages without a rank."""
     keys = ["model_year", "make"]
-    return fact.dropna(subset=keys).groupBy(*keys).agg(records(), *_plain_means())
+    summary = fact.groupBy(*keys).agg(records(), *_plain_means(), known_keys(keys))
+    return summary.where(F.col("__known") > 0).drop("__known")
 
 
 SUMMARY_KEYS = {
@@ -198,8 +208,8 @@ def group_summaries(fact: DataFrame, specs: dict[str, list[str]] | None = None)
     """One unrounded summary per key list; rows with an unknown key are left out."""
     found = {}
     for name, keys in (specs or SUMMARY_KEYS).items():
-        known = fact.dropna(subset=keys)
-        found[name] = known.groupBy(*keys).agg(records(), *_plain_means(gap=False))
+        summary = fact.groupBy(*keys).agg(records(), *_plain_means(gap=False), known_keys(keys))
+        found[name] = summary.where(F.col("__known") > 0).drop("__known")
     return found
 
 

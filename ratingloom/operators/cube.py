@@ -9,6 +9,7 @@ from ratingloom.functions.text import contains_literal
 from ratingloom.operators.benchmarks import COMBINED, EMISSIONS, ENGINE, GAP, records
 from ratingloom.operators.joins import with_one_row
 from ratingloom.operators.ordering import top_n
+from ratingloom.session import stored
 
 SEGMENT_KEYS = ["model_year", "vehicle_class", "make", "model", "fuel_type"]
 WEIGHT = "vehicle_records"
@@ -116,9 +117,10 @@ def category_mix(df: DataFrame, key: str, value: str, limit: int = 6, other: str
     """Sums per category; beyond ``limit`` categories the smallest fold into one row.
 
     Only ``limit`` rows are ever ranked. Categories outside them are summed where they are, and ties at
-    the cut go to the smaller key.
+    the cut go to the smaller key. The sums are stored, because they are read four times.
     """
-    grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value).alias(value))
+    sums = df.groupBy(key).agg(F.sum(value).alias(value))
+    grouped = stored(sums, "categories").where(F.col(key).isNotNull())
     groups = grouped.agg(F.count(F.lit(1))).scalar()
     order = [f"-{value}", key]
     few = top_n(grouped, order, limit).where(groups <= limit)

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ratingloom.session import shared_folder
 
+# a summary of at most so many rows is sent to every task; counted, not estimated
+SUMMARY_ROWS = 100_000
+
 
 def settled(df: DataFrame) -> DataFrame:
     """A small result that several plans read, computed once and kept as a checkpoint in the shared folder.
@@ -26,6 +29,16 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(renamed, same, how).drop(*[f"__right_{key}" for key in keys])
 
 
+def join_summary(left: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``join_on_keys`` with a summary that is computed and counted first; few rows are broadcast.
+
+    A planner that does not know the size of an aggregate shuffles both sides before it learns that one is small; then all
+    rows of ``left`` have moved to a handful of keys. A summary of more than ``SUMMARY_ROWS`` is left to the planner.
+    """
+    known = settled(summary)
+    return join_on_keys(left, F.broadcast(known) if known.count() <= SUMMARY_ROWS else known, keys, how)
+
+
 def with_one_row(df: DataFrame, one_row: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Attach the columns of a one-row frame to every row; an empty frame leaves no rows.
 
@@ -44,8 +57,9 @@ def latest_only(df: DataFrame, period: str) -> DataFrame:
 
 
 def decode_join(df: DataFrame, lookup: DataFrame, code: str) -> DataFrame:
-    """Inner join to a lookup table by code; the planner broadcasts it when it is small enough."""
-    return df.join(lookup, code, "inner")
+    """Inner join to a lookup table by code. A lookup of at most ``SUMMARY_ROWS`` is broadcast; the planner does not know the
+    size of literal rows and would move all rows of ``df`` to as many tasks as there are codes."""
+    return df.join(F.broadcast(lookup) if lookup.count() <= SUMMARY_ROWS else lookup, code, "inner")
 
 
 def attach_predictions(fact: DataFrame, predictions: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ratingloom.operators import metrics as M, models as ML
-from ratingloom.operators.joins import join_on_keys, settled
+from ratingloom.operators.joins import join_summary, settled
 from ratingloom.operators.metrics import PREDICTION_COLUMNS
 from ratingloom.operators.ordering import head_by, summary_position
 from ratingloom.plans import validation as V, views as W
@@ -321,7 +321,7 @@ def importance(spark, folder) -> DataFrame:
     tables = []
     for name in ABLATED:
         means = train.groupBy(name).agg(F.avg(y).alias("__known"))
-        scored = join_on_keys(base, means, [name], "inner")
+        scored = join_summary(base, means, [name], "inner")
         increase = F.avg(F.abs(y - F.col("__plain"))) - F.avg(F.abs(y - F.col("__known")))
         tables.append(scored.groupBy("model_split").agg(increase.alias("increase")).withColumn("feature", F.lit(name)))
     summary = M.stack(*tables).groupBy("feature").agg(

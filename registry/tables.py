@@ -14,7 +14,7 @@ from ratingloom.operators.benchmarks import peer_benchmark
 from ratingloom.operators.cleaning import banded_columns, canonical_columns, derive_ratios, temporal_split
 from ratingloom.operators.metrics import PREDICTION_COLUMNS, high_error_flag, scored_errors
 from ratingloom.operators.ordering import row_position
-from ratingloom.operators.joins import join_on_keys
+from ratingloom.operators.joins import join_summary
 from ratingloom.sources.readers import rename
 
 # unique over all line items
@@ -113,13 +113,13 @@ def class_line(train: DataFrame, df: DataFrame, name: str = "prediction") -> Dat
     lines = train.groupBy("vehicle_class").agg(
         F.regr_slope(emissions, city).alias("__slope"), F.regr_intercept(emissions, city).alias("__intercept")
     )
-    joined = join_on_keys(df, lines, ["vehicle_class"])
+    joined = join_summary(df, lines, ["vehicle_class"])
     return joined.withColumn(name, F.col("__intercept") + F.col("__slope") * city).drop("__slope", "__intercept")
 
 
 def class_mean(train: DataFrame, df: DataFrame, name: str = "prediction") -> DataFrame:
     means = train.groupBy("vehicle_class").agg(F.avg(F.col("co2_emissions_g_km").cast("double")).alias(name))
-    return join_on_keys(df, means, ["vehicle_class"])
+    return join_summary(df, means, ["vehicle_class"])
 
 
 def errors(rows: DataFrame) -> DataFrame:

@@ -111,6 +111,38 @@ def test_group_summaries_leave_unknown_keys_out(fact):
     assert sum(r.vehicle_records for r in found.collect()) == 8
 
 
+def plan(df, step="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), step)().toString()
+
+
+def test_unknown_keys_are_left_out_after_the_grouping(fact):
+    """A filter on derived keys must not be pushed down to where it repeats their derivation for every row."""
+    derived = fact.withColumn("fuel_type", F.upper(F.regexp_replace("fuel_type", "[0-9]", "")))
+    found = B.group_summaries(derived, {"s": ["model_year", "fuel_type"]})["s"]
+    assert plan(found).count("regexp_replace") == 1
+
+
+def test_lookups_and_peers_are_broadcast(spark, fact):
+    """The planner does not know how few rows they have and would move every row of the fact table."""
+    lookup = spark.createDataFrame([("Diesel", "D")], "fuel_type string, fuel_type_code string")
+    assert "broadcast" in plan(J.decode_join(spark.range(2).select(F.lit("Diesel").alias("fuel_type")), lookup, "fuel_type"), "analyzed").lower()
+    rows = fact.select("model_year", "vehicle_class", B.EMISSIONS).coalesce(1)
+    assert "broadcast" in plan(B.peer_benchmark(rows, ["model_year", "vehicle_class"], B.EMISSIONS), "analyzed").lower()
+
+
+def test_mix_reads_its_rows_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(key):
+        reads.add(1)
+        return key
+
+    rows = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "k string, n int").coalesce(1)
+    watched = rows.withColumn("k", F.udf(seen, "string").asNondeterministic()("k"))
+    assert sorted(map(tuple, K.category_mix(watched, "k", "n", 2).collect())) == [("Other", 3), ("a", 3)]
+    assert reads.value == 3
+
+
 def test_cube_rolls_up_to_the_detail_average(fact):
     cube = K.segment_summary(fact).cache()
     assert cube.count() == 9
