@@ -12,25 +12,22 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# a run that is not one plain space already
+_RUN = f"[{WHITESPACE.replace(' ', '')}][{WHITESPACE}]*| [{WHITESPACE}]+"
 
 
 def strip(value: Column | str) -> Column:
-    """Remove leading and trailing whitespace of every kind, not only spaces.
-
-    A text that starts and ends with visible ASCII, as most do, needs no look at the whitespace table.
-    """
-    text = column(value)
-    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
-    visible = first.between(33, 126) & last.between(33, 126)
-    return F.when(visible, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
+    """Remove leading and trailing whitespace of every kind, not only spaces."""
+    return F.btrim(column(value), F.lit(WHITESPACE))
 
 
 def normalize_text(value: Column | str) -> Column:
-    """Strip, squeeze inner whitespace runs to one space, upper-case."""
-    text = strip(value)
-    # only a text with two spaces in a row or a character beyond visible ASCII can hold a run to squeeze
-    squeezed = F.when(text.rlike(r"[^\x20-\x7E]|  "), F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")).otherwise(text)
-    return F.upper(squeezed)
+    """Strip, squeeze inner whitespace runs to one space, upper-case.
+
+    The value stands in the expression once: filters and joins that are pushed below it copy what it is made of, and each
+    further mention would multiply with the mentions inside.
+    """
+    return F.upper(F.regexp_replace(strip(value), _RUN, " "))
 
 
 def category_key(value: Column | str) -> Column:

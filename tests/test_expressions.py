@@ -101,3 +101,9 @@ def test_period_labels(spark):
     assert values(spark, "int", [2019, 2020, 2021, 2022], N.period_label("x", 2019, 2021)) == [
         "train", "validation", "validation", "test",
     ]
+
+
+def test_normalised_text_mentions_its_source_once(spark):
+    """Filters pushed below a derivation copy it, so every further mention multiplies with the next one."""
+    made = spark.range(1).select(T.normalize_text(F.reverse(F.col("id").cast("string"))).alias("t"))
+    assert made._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
