@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratingloom.operators.joins import join_on_keys
-from ratingloom.session import shared_folder
+from ratingloom.operators.joins import join_on_keys, join_summary
+from ratingloom.session import shared_folder, stored
 
 _PART = "__part"
 _SLOT = "__slot"
@@ -27,20 +27,20 @@ def order_names(order: list[str]) -> list[str]:
 
 
 def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows in range partitions of the sort key, with partition and slot fixed by a checkpoint.
+    """Rows in range partitions of the sort key, with partition and slot fixed by a stored copy.
 
-    Range bounds come from a sample, so a second evaluation could place rows elsewhere. The checkpoint
-    makes the placement a stored fact that every later stage and every retry reads back.
+    Range bounds come from a sample, so a second evaluation could place rows elsewhere. The copy makes the placement a
+    stored fact that every later stage and every retry reads back. It is Parquet, because a checkpoint keeps rows
+    unpacked and takes several times the disk.
     """
-    shared_folder(df.sparkSession)
     by = [F.col(key) for key in keys] + order_columns(order)
-    return (
+    placed = (
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn(_PART, F.spark_partition_id())
         .withColumn(_SLOT, F.monotonically_increasing_id())
-        .checkpoint()
     )
+    return stored(placed, "placed")
 
 
 def _offsets(placed: DataFrame, keys: list[str], *aggregates: Column, carry: str) -> DataFrame:
@@ -63,7 +63,7 @@ def row_position(
     offsets = _offsets(
         placed, keys, F.count(F.lit(1)).alias("__rows"), F.min(_SLOT).alias("__first"), carry="__rows"
     )
-    joined = join_on_keys(placed, offsets, [_PART, *keys])
+    joined = join_summary(placed, offsets, [_PART, *keys])
     position = F.col("__before") + F.col(_SLOT) - F.col("__first") + F.lit(start)
     return joined.withColumn(name, position.cast("long")).drop(_PART, _SLOT, "__rows", "__first", "__before")
 
@@ -85,7 +85,7 @@ def natural_position(df: DataFrame, name: str = "source_row_number", start: int
     # one row per block of a file
     earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-    joined = join_on_keys(placed, offsets, block)
+    joined = join_summary(placed, offsets, block)
     number = F.col("__before") + F.col(_SLOT) - F.col("__first") + F.lit(start)
     return joined.select(number.cast("long").alias(name), *df.columns)
 
@@ -123,7 +123,7 @@ def running_totals(
     running = placed.withColumn(
         "__local", F.sum(weight).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    joined = join_on_keys(running, offsets, [_PART, *keys])
+    joined = join_summary(running, offsets, [_PART, *keys])
     return joined.withColumn(name, F.col("__local") + F.col("__before")).drop(
         _PART, _SLOT, "__local", "__sum", "__before"
     )
@@ -157,7 +157,7 @@ def with_cume_dist(
     sizes = values.groupBy(*keys).agg(F.sum(count).alias("__total"))
     share = F.col("__running") / F.col("__total")
     if keys:
-        return join_on_keys(totals, sizes, keys).withColumn(name, share).drop("__running", "__total")
+        return join_summary(totals, sizes, keys).withColumn(name, share).drop("__running", "__total")
     return totals.withColumn("__total", sizes.scalar()).withColumn(name, share).drop("__running", "__total")
 
 
@@ -172,7 +172,7 @@ def with_tile(
     keys = list(keys)
     placed = row_position(df, order, keys, "__position")
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    sized = join_on_keys(placed, sizes, keys) if keys else placed.withColumn("__rows", sizes.scalar())
+    sized = join_summary(placed, sizes, keys) if keys else placed.withColumn("__rows", sizes.scalar())
     small, extra = F.floor(F.col("__rows") / tiles), F.col("__rows") % tiles
     long_span = extra * (small + 1)
     tile = F.when(

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratingloom.operators.joins import join_on_keys
+from ratingloom.operators.joins import join_on_keys, join_summary
 from ratingloom.session import stored
 
 ROWS = "rows"
@@ -48,7 +48,7 @@ def _near_ranks(counts: DataFrame, value: str, probs: dict[str, float], keys: li
     parts = counts.select(*keys, F.col(value).cast("double").alias("__number"), ROWS)
     sizes = parts.groupBy(*keys).agg(F.sum(ROWS).alias("__total"), *ends)
     if keys:
-        parts = join_on_keys(parts, sizes, keys)
+        parts = join_summary(parts, sizes, keys)
     else:
         whole = sizes.select(F.struct(*sizes.columns).alias("whole")).scalar()
         parts = parts.withColumn("__whole", whole).select(*parts.columns, "__whole.*")

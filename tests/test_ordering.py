@@ -196,3 +196,8 @@ def test_top_n_and_display_order(spark):
     assert [r.k for r in O.top_n(df, ["-v", "k"], 2).collect()] == ["b", "c"]
     assert [r.k for r in O.top_n_displayed(df, ["-v", "k"], 3, ["v", "k"]).collect()] == ["d", "b", "c"]
     assert [r.k for r in O.head_by(df, "k", 1).collect()] == ["a"]
+
+
+def test_places_are_stored_packed_and_joined_without_a_shuffle(skewed):
+    plan = O.row_position(skewed, ["id"])._jdf.queryExecution().analyzed().toString().lower()
+    assert "parquet" in plan and "broadcast" in plan
