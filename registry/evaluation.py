@@ -366,7 +366,9 @@ def importance_rank(spark, folder):
 def view_tables(spark, folder) -> W.Tables:
     """The stored tables of the views; ratings and predictions are written once, as a load would."""
     ratings = stored(R.numbered_fact(spark, folder), "ratings")
-    scored = stored(R.predictions(ratings), "predictions")
+    # the ratings stand beside it, so only what predictions and segments need is stored again
+    columns = dict.fromkeys([*PREDICTION_COLUMNS, *M.SEGMENTS.values()])
+    scored = stored(R.predictions(ratings).select(*columns), "predictions")
     errors = settled(M.segment_errors(scored.where("data_split = 'test'")))
     return W.Tables(
         ratings=ratings,
