@@ -147,6 +147,12 @@ def test_ridge_matches_the_closed_form(spark, cars):
     assert np.allclose([r.prediction for r in rows], centred @ weights + y.mean(), atol=1e-3)
 
 
+def test_parts_of_the_vector_store_do_not_grow_with_the_rows(cars, monkeypatch):
+    monkeypatch.setattr(ML, "PART_ROWS", 10)
+    known = ML.vectors(cars, NUMERIC, CATEGORICAL)
+    assert known.rows.count() == 240 and len(known.rows.inputFiles()) >= 24
+
+
 def test_evaluation_selects_on_validation_and_tests_once(spark, cars):
     frame = cars.withColumns({"leak": F.col("co2_emissions_g_km") / 10})
     found = ML.evaluate(
