@@ -186,6 +186,16 @@ def test_partners_are_a_permutation_per_repeat(cars):
     assert orders[1] != orders[2] and any(k != v for k, v in orders[1].items())
 
 
+def test_a_short_first_walk_leaves_the_permutation_as_it_is(spark, monkeypatch):
+    places = spark.range(1_025)  # nearly half of the places of a network fall outside
+
+    def drawn(steps):
+        monkeypatch.setattr(ML, "FIRST_STEPS", steps)
+        return [r[0] for r in places.select(ML.permuted(F.col("id"), 1_025, F.lit(42), F.lit(1))).collect()]
+
+    assert sorted(drawn(8)) == list(range(1_025)) and drawn(8) == drawn(1) == drawn(64)
+
+
 def test_importance_and_reproduction(spark, cars, tmp_path):
     frame = cars.withColumn("noise", F.lit(1.0))
     model = ML.fit(frame, ML.ridge(frame), [*NUMERIC, "noise"], CATEGORICAL)
