@@ -16,7 +16,7 @@ from ratingloom.functions.text import (
 )
 from ratingloom.operators.benchmarks import peer_benchmark
 from ratingloom.operators.ordering import dense_key
-from ratingloom.session import stored
+from ratingloom.session import leave_wide_stages_unfused, stored
 from ratingloom.sources import schema as S
 from ratingloom.sources.readers import check_header, rename
 
@@ -77,7 +77,11 @@ def temporal_split(
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:
-    """Canonical text, codes, labels and typed measures of a renamed raw table; row by row, no shuffle."""
+    """Canonical text, codes, labels and typed measures of a renamed raw table; row by row, no shuffle.
+
+    With the columns derived from them they make a stage too wide to be compiled as one method.
+    """
+    leave_wide_stages_unfused(df.sparkSession)
     cleaned = df.withColumns(
         {
             "make": normalize_text("make"),

@@ -9,6 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The JVM never compiles a method above 8,000 bytes and compiles those just below it badly, so a wider stage is better left
+# unfused. Spark's own limit is as good as none.
+LIMIT, STAGE_BYTES, NO_LIMIT = "spark.sql.codegen.hugeMethodLimit", "7000", "65535"
+
 
 def build_session(app: str = "ratingloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; ``conf`` keys use ``__`` where Spark uses ``.``."""
@@ -18,8 +22,7 @@ def build_session(app: str = "ratingloom", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # the JVM never compiles a method above this size, so a wider stage is better left unfused
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config(LIMIT, STAGE_BYTES)
     )
     if master:
         builder = builder.master(master)
@@ -28,6 +31,13 @@ def build_session(app: str = "ratingloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def leave_wide_stages_unfused(spark: SparkSession) -> None:
+    """Limit the code of a stage as ``build_session`` does, also in a session that was made elsewhere; one that has a limit of
+    its own keeps it."""
+    if spark.conf.get(LIMIT, NO_LIMIT) == NO_LIMIT:
+        spark.conf.set(LIMIT, STAGE_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only for a local session without one."""
     context = spark.sparkContext

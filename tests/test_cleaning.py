@@ -224,3 +224,12 @@ def test_lookup_replaces(spark, cleaned):
     assert fuel_type_lookup(spark).count() == 5
     assert lookup_table(spark, {**{"X": "old"}, **{"X": "new"}}, "c", "n").first().n == "new"
     assert [r.field for r in data_dictionary(cleaned).orderBy("position").collect()] == S.CLEAN_COLUMNS
+
+
+def test_wide_stages_are_left_unfused_in_any_session(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    for given, kept in (("65535", "7000"), ("6000", "6000")):
+        other = spark.newSession()
+        other.conf.set(limit, given)
+        C.canonical_columns(IN.rename(other.createDataFrame([], ", ".join(f"{name} string" for name in S.COLUMN_MAP))))
+        assert other.conf.get(limit) == kept
