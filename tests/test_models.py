@@ -223,3 +223,22 @@ def test_scored_rows(spark):
     assert (found[2].absolute_percentage_error, found[2].high_error_flag, found[3].high_error_flag) == (0.025005, 1, 1)
     assert (found[3].predicted_emission_band, found[3].absolute_percentage_error) == ("350+", 2.5)
     assert M.prediction_range(M.score_rows(df, "m", "prediction", "co2_emissions_g_km")).first().axis_high == 410.002
+
+
+def test_a_forest_is_shuffled_as_levels_that_are_made_once(spark, cars, monkeypatch):
+    frame = cars.withColumn("noise", F.lit(1.0))
+    odd = frame.limit(3).withColumn("co2_emissions_g_km", F.lit(None).cast("double")).withColumn("size", F.lit(None).cast("double"))
+    model = ML.fit(frame, ML.forest(max_depth=4, trees=3), [*NUMERIC, "noise"], CATEGORICAL)
+    runs, run = [], ML.PipelineModel._transform
+    monkeypatch.setattr(ML.PipelineModel, "_transform", lambda self, df: runs.append(1) or run(self, df))
+
+    def found(df):
+        rows = ML.permutation_importance(model, df, ["size", "noise", "make"], "vehicle_id", "Forest", repeats=3).collect()
+        return [(r.importance_id, r.feature, r.importance_mean_mae_increase, r.importance_std) for r in rows]
+
+    known = frame.unionByName(odd.withColumn("vehicle_id", F.col("vehicle_id") + 1_000))
+    by_levels, alone = found(known), found(odd)
+    assert len(runs) == 2
+    monkeypatch.setattr(ML, "level_slots", lambda model, features: None)
+    for new, old in zip(by_levels + alone, found(known) + found(odd), strict=True):
+        assert new[:2] == old[:2] and new[2:] == pytest.approx(old[2:], abs=1e-9)
