@@ -15,11 +15,14 @@ from ratingloom.functions.text import (
     trailing_number,
 )
 from ratingloom.operators.benchmarks import peer_benchmark
+from ratingloom.operators.joins import SUMMARY_ROWS
 from ratingloom.operators.ordering import dense_key
 from ratingloom.session import leave_wide_stages_unfused, stored
 from ratingloom.sources import schema as S
 from ratingloom.sources.readers import check_header, rename
 
+_DIGEST = "__digest"
+
 
 def first_of_copies(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """The smallest ``order`` value and the number of rows of every distinct combination of ``columns``.
@@ -29,12 +32,29 @@ def first_of_copies(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies"))
 
 
+def firsts_by_digest(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """``columns`` and smallest ``order`` of every distinct combination of ``columns``.
+
+    Equal rows have equal digests, so rows whose digest stands alone are no copies and stay where they are; only the others
+    are grouped by all their columns. If many digests recur, all rows are.
+    """
+    digest = F.xxhash64(*columns).alias(_DIGEST)
+    recurring = df.select(digest).groupBy(_DIGEST).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    recurring = stored(recurring.select(_DIGEST), "recurring-digests")
+    if recurring.count() > SUMMARY_ROWS:
+        return first_of_copies(df, columns, order).drop("copies")
+    digested = df.select(*columns, order, digest)
+    alone = digested.join(F.broadcast(recurring), _DIGEST, "left_anti").drop(_DIGEST)
+    copies = digested.join(F.broadcast(recurring), _DIGEST, "left_semi").drop(_DIGEST)
+    return alone.unionByName(first_of_copies(copies, columns, order).drop("copies"))
+
+
 def split_exact_duplicates(df: DataFrame, columns: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): the first row by the unique ``order`` of each set of equal rows, and the rest.
 
     Nulls are equal to each other, and text is compared exactly as it stands.
     """
-    firsts = first_of_copies(df, columns, order)
+    firsts = firsts_by_digest(df, columns, order)
     removed = df.join(firsts.select(order), order, "left_anti")
     if set(df.columns) == {*columns, order}:
         return firsts.select(*df.columns), removed

@@ -14,6 +14,8 @@ from ratingloom.session import shared_folder, stored
 
 _PART = "__part"
 _SLOT = "__slot"
+# numbers of one of Spark's bitmaps, which takes 4 KB, and bitmaps that are sent to every task at most
+BITMAP, BITMAPS = 32_768, 10_000
 # leading hexadecimal digits that a keyed sample counts its rows by
 DIGITS = 4
 
@@ -90,8 +92,39 @@ def natural_position(df: DataFrame, name: str = "source_row_number", start: int
     return joined.select(number.cast("long").alias(name), *df.columns)
 
 
+def _bitmap_rank(df: DataFrame, order: str) -> DataFrame | None:
+    """Rows with ``__key``, the rank of a whole number; None where a number is missing, repeats or lies too far from the others."""
+    if dict(df.dtypes)[order] not in ("tinyint", "smallint", "int", "bigint"):
+        return None
+    number = F.col(order).cast("long")
+    low, high, rows, known = df.agg(F.min(number), F.max(number), F.count(F.lit(1)), F.count(number)).first()
+    if not rows or known < rows or (high - low) // BITMAP >= BITMAPS:
+        return None
+    offset = number - F.lit(low)
+    bit = F.pmod(offset, F.lit(BITMAP))
+    bucket = F.floor((offset - bit) / BITMAP).cast("long").alias("__bucket")
+    maps = df.select(bucket, bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    maps = stored(maps.withColumn("__rows", F.bitmap_count("__bits")), "bitmaps")
+    if maps.agg(F.sum("__rows")).first()[0] < rows:
+        return None
+    # one row for BITMAP numbers
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.select("__bucket", "__bits", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    whole = (bit / 8).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), whole + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.bitmap_count(F.substring(F.col("__bits"), F.lit(1), whole))
+    upto = F.element_at(F.array(*[F.lit((2 << k) - 1) for k in range(8)]), (bit % 8).cast("int") + 1)
+    key = F.col("__before") + inside + F.bit_count(byte.bitwiseAND(upto))
+    joined = df.withColumn("__bucket", bucket).join(F.broadcast(maps), "__bucket")
+    return joined.select(key.cast("long").alias("__key"), *df.columns)
+
+
 def dense_key(df: DataFrame, order: str, name: str = "vehicle_id") -> DataFrame:
-    """Surrogate key 1..N in the order of a unique column, however sparse its values are."""
+    """Surrogate key 1..N in the order of a unique column, however sparse its values are.
+
+    Whole numbers that are close enough are ranked by bitmaps of those that occur, so no row moves."""
+    if (ranked := _bitmap_rank(df, order)) is not None:
+        return ranked.select(F.col("__key").alias(name), *df.columns)
     keyed = row_position(df, [order], name="__key")
     return keyed.select(F.col("__key").alias(name), *df.columns)
 

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 LIMIT, STAGE_BYTES, NO_LIMIT = "spark.sql.codegen.hugeMethodLimit", "7000", "65535"
 
 
+# Shuffle files go as soon as the execution that wrote them ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "ratingloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; ``conf`` keys use ``__`` where Spark uses ``.``."""
     builder = (
@@ -60,10 +64,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written once as Parquet under the shared folder and read back with its lineage cut."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame written once as Parquet under the shared folder and read back with its lineage cut.
+
+    Nothing reads the shuffles behind it again, so their files go with the write."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def on_workers(spark: SparkSession) -> None:

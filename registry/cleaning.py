@@ -278,7 +278,7 @@ def clean_ratings(spark, folder):
 
 
 def clean_job(spark, folder):
-    raw = row_position(R.raw_ratings(spark, folder), TIE, name="source_row_number", start=2).drop(*TIE)
+    raw = R.numbered_raw(spark, folder, "source_row_number", start=2).drop(*TIE)
     return C.clean_ratings(raw, "source_row_number", R.TRAIN_UNTIL, R.VALIDATE_UNTIL)
 
 

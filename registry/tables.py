@@ -41,11 +41,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def raw_ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """Fifteen raw columns and the tie-break columns; one join, nothing else is shuffled."""
+ITEM = [*TIE, "l_discount", "l_tax", "l_returnflag", "l_linestatus", "p_brand", "p_name", "p_type", "p_size"]
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """What a raw rating is made of; one join, nothing else is shuffled."""
     items = table(spark, folder, "lineitem")
     parts = table(spark, folder, "part")
-    joined = items.join(parts, items.l_partkey == parts.p_partkey)
+    return items.join(parts, items.l_partkey == parts.p_partkey).select(*ITEM)
+
+
+def raw_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifteen raw columns and the tie-break columns."""
+    return _raw(_items(spark, folder))
+
+
+def numbered_raw(spark: SparkSession, folder: str, name: str, start: int = 1) -> DataFrame:
+    """Raw ratings with their position by the tie-break columns; they are made after the items were moved to their places."""
+    return _raw(row_position(_items(spark, folder), TIE, name=name, start=start), name)
+
+
+def _raw(joined: DataFrame, *others: str) -> DataFrame:
     newer = F.col("l_linestatus") == "F"
     spelled = F.when(F.lit(False), F.lit(None).cast("string"))
     for kind, (new, old, _) in CLASSES.items():
@@ -76,6 +92,7 @@ def raw_ratings(spark: SparkSession, folder: str) -> DataFrame:
         F.when(year >= 1999, F.nullif(F.round(F.col("l_discount") * 100), F.lit(0.0))).alias("CO2Rating"),
         F.when(year >= 2000, F.nullif(F.round(F.col("l_tax") * 100), F.lit(0.0))).alias("SmogRating"),
         *TIE,
+        *others,
     )
 
 
@@ -91,7 +108,7 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 def numbered_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Ratings with the dense position by the tie-break columns as vehicle id."""
-    return _canonical(row_position(raw_ratings(spark, folder), TIE, name="vehicle_id"))
+    return _canonical(numbered_raw(spark, folder, "vehicle_id"))
 
 
 def with_peers(df: DataFrame) -> DataFrame:

@@ -233,3 +233,16 @@ def test_wide_stages_are_left_unfused_in_any_session(spark):
         other.conf.set(limit, given)
         C.canonical_columns(IN.rename(other.createDataFrame([], ", ".join(f"{name} string" for name in S.COLUMN_MAP))))
         assert other.conf.get(limit) == kept
+
+
+def test_only_rows_whose_digest_recurs_are_grouped(spark, monkeypatch):
+    rows = [(1, "a", 0.0), (2, "a", -0.0), (3, "a", 1.0), (4, None, 1.0), (5, None, 1.0), (6, "b", None), (7, "c", float("nan")), (8, "c", float("nan"))]
+    df = spark.createDataFrame(rows, "id long, t string, x double")
+    grouped, group = [], C.first_of_copies
+    monkeypatch.setattr(C, "first_of_copies", lambda df, *a: grouped.append(df.count()) or group(df, *a))
+    kept, removed = C.split_exact_duplicates(df, ["t", "x"], "id")
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 4, 6, 7] and sorted(r.id for r in removed.collect()) == [2, 5, 8]
+    assert grouped == [6]
+    monkeypatch.setattr(C, "SUMMARY_ROWS", 0)
+    kept, removed = C.split_exact_duplicates(df, ["t", "x"], "id")
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 4, 6, 7] and grouped == [6, 8]

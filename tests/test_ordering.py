@@ -201,3 +201,21 @@ def test_top_n_and_display_order(spark):
 def test_places_are_stored_packed_and_joined_without_a_shuffle(skewed):
     plan = O.row_position(skewed, ["id"])._jdf.queryExecution().analyzed().toString().lower()
     assert "parquet" in plan and "broadcast" in plan
+
+
+def test_whole_numbers_are_ranked_where_they_are(spark, monkeypatch):
+    numbers = [-70_000, -1, 0, 1, 7, 8, 9, 32_767, 32_768, 32_769, 65_535, 65_536, 1_000_000]
+    df = spark.createDataFrame([(n, str(n)) for n in reversed(numbers)], "n long, name string").repartition(3)
+
+    def keys(df):
+        return sorted((r.vehicle_id, r.n, r.name) for r in O.dense_key(df, "n").collect())
+
+    wanted = [(i, n, str(n)) for i, n in enumerate(numbers, start=1)]
+    with monkeypatch.context() as m:
+        m.setattr(O, "row_position", None)
+        assert keys(df) == wanted and keys(df.withColumn("n", F.col("n").cast("int"))) == wanted
+    # missing, repeated and far numbers move rows as before
+    assert [k for k, *_ in keys(df.unionByName(df.limit(1)))] == list(range(1, 15))
+    assert [r.vehicle_id for r in O.dense_key(df.unionByName(spark.createDataFrame([(None, "x")], df.schema)), "n").orderBy("vehicle_id").collect()] == list(range(1, 15))
+    monkeypatch.setattr(O, "BITMAPS", 1)
+    assert keys(df) == wanted

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from ratingloom.operators import cube as K, models as ML
 from ratingloom.operators.ordering import sample_cap
 from ratingloom.sources import writers as IO
 from ratingloom.sources.readers import fingerprint
+from ratingloom.session import CLEANUP, stored
 
 ROWS = "code long, name string"
 
@@ -100,3 +102,18 @@ def test_permuted_places_are_a_permutation(spark, rows):
         assert sum(x["p1"] == x["id"] for x in found) < 10 and [x["p1"] for x in found] != [x["p2"] for x in found]
         # neighbours do not stay neighbours
         assert sum(abs(a["p1"] - b["p1"]) == 1 for a, b in zip(found, found[1:])) < rows / 10
+
+
+def test_a_stored_frame_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(CLEANUP, None)
+    frame = stored(spark.range(1_000).repartition(7, "id"), "moved")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(CLEANUP, None) == setting and frame.count() == 1_000
