@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -404,9 +406,15 @@ DETAIL_SHAPE = (
 )
 def vehicle_detail(spark, folder):
     rows = stored_rows(spark, folder)
-    return W.vehicle_detail(
+    detail = W.vehicle_detail(
         R.with_peers(rows), fuel_type_lookup(spark), transmission_family_lookup(spark), R.prediction_table(rows)
     )
+    # the join of both sides moves all columns of all rows, so it runs and is stored slice by slice
+    size = rows.count()
+    slices = max(1, min(SLICES, -(-size // SLICE_ROWS)))
+    ends = [size * i // slices for i in range(slices + 1)]
+    spans = [F.col("vehicle_id").between(a + 1, b) for a, b in zip(ends, ends[1:])]
+    return reduce(DataFrame.unionByName, [stored(detail.where(span), "detail") for span in spans])
 
 
 def _at(name: str, scale: int, edge: str) -> str:
@@ -439,6 +447,10 @@ def kpis(spark, folder):
     return W.kpis(R.with_peers(rows), ledger(spark, folder), R.errors(rows))
 
 
+# slices that the wide join is cut into, and rows from which another one pays
+SLICES, SLICE_ROWS = 16, 4_000_000
+
+
 VIEW_SOURCES = {
     "vehicle_detail": "fact",
     "yearly_trend": "(SELECT DISTINCT model_year FROM fact)",

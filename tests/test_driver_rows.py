@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ratingloom.operators import models as ML
+from registry import evaluation
 
 LINE = (
     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -34,3 +35,12 @@ def test_the_tuning_grows_all_trees_of_the_library(spark, folder):
     found = entry.queries()["rf_tuning"](spark, folder).orderBy("tuning_id").collect()
     assert [r.n_estimators for r in found] == [ML.FOREST_TREES] * 4 and ML.FOREST_TREES == 300
     assert [r.max_depth for r in found] == [point["max_depth"] for point in ML.FOREST_GRID]
+
+
+def test_the_wide_join_of_the_details_runs_in_slices(spark, folder, monkeypatch):
+    whole = sorted(map(str, entry.queries()["vehicle_detail"](spark, folder).collect()))
+    kept, store = [], evaluation.stored
+    monkeypatch.setattr(evaluation, "SLICE_ROWS", 100)
+    monkeypatch.setattr(evaluation, "stored", lambda df, name: kept.append(name) or store(df, name))
+    assert sorted(map(str, entry.queries()["vehicle_detail"](spark, folder).collect())) == whole and len(whole) == 420
+    assert kept.count("detail") == 5
