@@ -102,20 +102,20 @@ def _bitmap_rank(df: DataFrame, order: str) -> DataFrame | None:
         return None
     offset = number - F.lit(low)
     bit = F.pmod(offset, F.lit(BITMAP))
-    bucket = F.floor((offset - bit) / BITMAP).cast("long").alias("__bucket")
-    maps = df.select(bucket, bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    bucket = F.floor((offset - bit) / BITMAP).cast("long").alias(_PART)
+    maps = df.select(bucket, bit.alias("__bit")).groupBy(_PART).agg(F.bitmap_construct_agg("__bit").alias("__bits"))
     maps = stored(maps.withColumn("__rows", F.bitmap_count("__bits")), "bitmaps")
     if maps.agg(F.sum("__rows")).first()[0] < rows:
         return None
     # one row for BITMAP numbers
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    maps = maps.select("__bucket", "__bits", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.select(_PART, "__bits", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
     whole = (bit / 8).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), whole + 1, F.lit(1))), 16, 10).cast("int")
     inside = F.bitmap_count(F.substring(F.col("__bits"), F.lit(1), whole))
     upto = F.element_at(F.array(*[F.lit((2 << k) - 1) for k in range(8)]), (bit % 8).cast("int") + 1)
     key = F.col("__before") + inside + F.bit_count(byte.bitwiseAND(upto))
-    joined = df.withColumn("__bucket", bucket).join(F.broadcast(maps), "__bucket")
+    joined = df.withColumn(_PART, bucket).join(F.broadcast(maps), _PART)
     return joined.select(key.cast("long").alias("__key"), *df.columns)
 
 
